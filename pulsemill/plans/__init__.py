@@ -17,9 +17,9 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Hand the package to the workers of a cluster, once per application."""
+    """Hand the package to the Python workers, wherever they run, once per application."""
     sc = spark.sparkContext
-    if sc.master.startswith("local[") or sc.applicationId in _shipped:
+    if sc.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     held = io.BytesIO()
