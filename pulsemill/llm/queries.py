@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, incremental, leaks, looks, neardup, together
+from . import bpe, incremental, language, leaks, looks, neardup, together
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,18 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"p9_found": p9_found, "p3_found": p3_found, "p3_scores": p3_scores, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p8_ids": p8_ids, "p7_found": p7_found, "p7_classes": p7_classes}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.wrong_or_mixed(table(spark, sf_dir, "normalized_messages"), table(spark, sf_dir, "message_labels"), table(spark, sf_dir, "vocab"))
+
+
+def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "normalized_messages")
+    names = language.vocabulary_names(table(spark, sf_dir, "vocab"))
+    model = language.fit_on(messages, table(spark, sf_dir, "message_labels"), names)
+    return language.message_languages(messages, model, names)
+
+
+QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p9_found": p9_found, "p3_found": p3_found, "p3_scores": p3_scores, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p8_ids": p8_ids, "p7_found": p7_found, "p7_classes": p7_classes}
 _PAIRS = """
 with m as (select distinct msg_id, entity from entity_mentions where msg_id is not null and entity is not null),
 e as (select entity, count(*) k from m group by entity), t as (select count(distinct msg_id) n from m),
