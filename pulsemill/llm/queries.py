@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import bpe, incremental, language, leaks, looks, neardup, together
+from . import bpe, incremental, language, leaks, looks, neardup, sentences, together
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +57,11 @@ def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.message_languages(messages, model, names)
 
 
-QUERIES = {"p1_found": p1_found, "p1_segments": p1_segments, "p9_found": p9_found, "p3_found": p3_found, "p3_scores": p3_scores, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p8_ids": p8_ids, "p7_found": p7_found, "p7_classes": p7_classes}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p1_found": p1_found, "p1_segments": p1_segments, "p9_found": p9_found, "p3_found": p3_found, "p3_scores": p3_scores, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p8_ids": p8_ids, "p7_found": p7_found, "p7_classes": p7_classes}
 _PAIRS = """
 with m as (select distinct msg_id, entity from entity_mentions where msg_id is not null and entity is not null),
 e as (select entity, count(*) k from m group by entity), t as (select count(distinct msg_id) n from m),
