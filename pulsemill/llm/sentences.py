@@ -175,8 +175,10 @@ def _ends(text: str, i: int, e: int, q: int, lo: int, hi: int) -> bool:
                 if last in ENDING and text[i - 1].islower():
                     return not (c.islower() or c.isdigit())
                 return False
-        if c.islower() or c in _COMMA:
+        if c in _COMMA:
             return False
+        if c.islower():  # text without capitals, unless what stands before may be an abbreviation or an ordinal
+            return len(t) >= 4 and "." not in t or not t and text[max(lo, i - 3) : i].isdigit() and i - 3 >= lo
         if before.isdigit() and c.isupper() and not (i - 3 >= lo and text[i - 3].isdigit()) and not (i - 2 >= lo and text[i - 2] in ".,"):
             word = re.match(r"\w+", text[r : min(hi, r + 12)])
             if word and word[0] in MONTHS:
