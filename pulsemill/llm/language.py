@@ -41,19 +41,13 @@ CODES = (
 )
 CODE_OF = {x: line.split()[0] for line in CODES.split(",") for x in line.split()}
 
-_NOISE = regex.compile(
-    r"""(?xi)
-    https?://\S+ | www\.\S+ | \b[\w.-]+\.(?:com|net|org|io|example|test|invalid)\b\S*   # links
-    | [\$\#@]\s?[\w.\-]+                                                              # symbols, tags, handles
-    | \b(?:ref|tx)[\s:-]+\S+ | \b0x[0-9a-f]+ | \b\w*\p{N}\w*                        # references, addresses, numbers
-    | (?-i:\b\p{Lu}{3,}\b)                                                            # names of symbols in capitals
-    | (?-i:\bRT\b)
-    """
-)
-_WORD = regex.compile(
-    r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]+|[\p{Latin}\p{Cyrillic}\p{Greek}\p{Mn}]+|\p{Hangul}+|[\p{Arabic}\p{Mn}]+|[\p{Devanagari}]+|[\p{Thai}]+|\p{L}[\p{L}\p{M}]*"
+# what is looked at in one pass: links, tags, handles and references, which count for nothing, then words and the marks that end a clause
+_TOKEN = regex.compile(
+    r"https?://\S+|www\.\S+|[$#@]\s?[\w.\-]+|\bref-\S+"
+    r"|[\p{Han}\p{Hiragana}\p{Katakana}ー々]+|[\p{Latin}\p{Cyrillic}\p{Greek}\p{Mn}\p{Nd}_]+|\p{Hangul}+|[\p{Arabic}\p{Mn}]+|[\p{Devanagari}]+|[\p{Thai}]+|\p{L}[\p{L}\p{M}]*"
     r"|[.,;:!?…。，、；：！？।؟،؛\n]"
 )
+_DIGIT = regex.compile(r"\p{N}")
 _END = frozenset(".,;:!?…。，、；：！？।؟،؛\n")
 _CYRILLIC, _LATIN, _GREEK = regex.compile(r"\p{Cyrillic}"), regex.compile(r"\p{Latin}"), regex.compile(r"\p{Greek}")
 _TO_LATIN = {ord(p[0]): p[1] for p in LOOK_ALIKE.split()}
@@ -62,13 +56,21 @@ _OWN_CYRILLIC = regex.compile("[" + "".join(c for c in map(chr, range(0x430, 0x4
 _IDEOGRAPH = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]")
 
 
-def names_pattern(names: list[str]) -> regex.Pattern | None:
-    """Matches any of the entity names; those that begin or end with a letter of an alphabet only as whole words."""
-    parts = []
-    for n in sorted({n.strip().lower() for n in names if n and n.strip()}, key=lambda n: (-len(n), n)):
-        edge = lambda c: r"\b" if c.isascii() and c.isalnum() else ""
-        parts.append(edge(n[0]) + regex.escape(n) + edge(n[-1]))
-    return regex.compile("(?i)" + "|".join(parts)) if parts else None
+
+class Names:
+    """Entity names by how they are found: single words, pairs of words, and stretches of ideographs inside a run of them."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.single: set[str] = set()
+        self.pairs: set[tuple[str, str]] = set()
+        runs: set[str] = set()
+        for name in {n.strip().lower() for n in names if n and n.strip()}:
+            parts = name.split()
+            if len(parts) == 1:
+                (runs if _IDEOGRAPH.match(name) else self.single).add(name)
+            else:
+                self.pairs.update(zip(parts, parts[1:]))
+        self.runs = regex.compile("|".join(sorted(map(regex.escape, runs), key=lambda r: (-len(r), r)))) if runs else None
 
 
 def _one_script(word: str) -> str:
@@ -81,25 +83,42 @@ def _one_script(word: str) -> str:
     return word
 
 
-def words(text: str | None, names: regex.Pattern | None = None) -> tuple[list[str], list[bool]]:
+def words(text: str | None, names: Names | None = None) -> tuple[list[str], list[bool]]:
     """The words of a text's running text, lower case, and whether a clause ends before each."""
     if not text:
         return [], []
-    s = text if text.isascii() else unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
-    plain = s.isascii()
-    if not plain and _LATIN.search(s) and (_CYRILLIC.search(s) or _GREEK.search(s)):
-        s = regex.sub(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Mn}]+", lambda m: _one_script(m[0]), s)
-    s = _NOISE.sub(" ", s)
-    if names is not None:
-        s = names.sub(" ", s)
+    s = text
+    if not s.isascii():
+        s = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
+        if _LATIN.search(s) and (_CYRILLIC.search(s) or _GREEK.search(s)):
+            s = regex.sub(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Mn}]+", lambda m: _one_script(m[0]), s)
     out, ends, end = [], [], False
-    for w in _WORD.findall(s.lower()):
+    single, pairs, runs = (names.single, names.pairs, names.runs) if names is not None else ((), (), None)
+    for w in _TOKEN.findall(s):
         if w in _END:
             end = True
+            continue
+        if w.isascii():
+            if not w.isalpha() or len(w) > 1 and w.isupper() and (len(w) > 2 or w == "RT"):
+                continue  # a number, an address or a symbol in capitals
+            w = w.lower()
         else:
-            out.append(w)
-            ends.append(end)
-            end = False
+            if w[0] in "$#@" or w.startswith(("http", "www.", "ref-")) or _DIGIT.search(w):
+                continue
+            w = w.lower()
+            if runs is not None and _IDEOGRAPH.match(w):
+                w = runs.sub("", w)
+                if not w:
+                    continue
+        if w in single:
+            continue
+        if out and not end and (out[-1], w) in pairs:
+            end = ends.pop() or end
+            out.pop()
+            continue
+        out.append(w)
+        ends.append(end)
+        end = False
     return out, ends
 
 
@@ -152,7 +171,7 @@ def fit(texts: list[tuple[list[str], list[bool]]], labels: list[str], rounds: in
     model = Model(langs, np.zeros((BUCKETS, len(langs)), np.float32))
     for r in range(rounds + 1):
         if r:
-            got = segments(model, texts)
+            got, _, _ = segments(model, texts)
             pairs = np.array([(number[w], of[lang]) for (ws, _), lang, g in zip(texts, labels, got) for w, x in zip(ws, g) if langs[x] == lang], np.int64).reshape(-1, 2)
         times = np.zeros((len(distinct), len(langs)))
         np.add.at(times, (pairs[:, 0], pairs[:, 1]), 1)
@@ -164,12 +183,12 @@ def fit(texts: list[tuple[list[str], list[bool]]], labels: list[str], rounds: in
     return model
 
 
-def segments(model: Model, texts: list[tuple[list[str], list[bool]]]) -> list[list[int]]:
-    """The language (a number) of each word of each text, by Viterbi over all texts at once."""
+def segments(model: Model, texts: list[tuple[list[str], list[bool]]]) -> tuple[list[list[int]], list[list[int]], np.ndarray]:
+    """The language (a number) of each word of each text, by Viterbi over all texts at once; the words as rows of the table of scores, and that table."""
     number: dict[str, int] = {}
     ids = [[number.setdefault(w, len(number)) for w in ws] for ws, _ in texts]
     if not number:
-        return [[] for _ in texts]
+        return ids, ids, np.empty((0, len(model.langs)), np.float32)
     table = model.scores(list(number))
     n = np.fromiter(map(len, ids), np.int64, len(ids))
     order = np.argsort(-n, kind="stable")
@@ -201,36 +220,29 @@ def segments(model: Model, texts: list[tuple[list[str], list[bool]]]) -> list[li
             top, stay = back[t - 1]
             state[:m] = np.where(stay[np.arange(m), state[:m]], state[:m], top)
     cuts = np.cumsum(n)[:-1]
-    return [p.tolist() for p in np.split(path, cuts)]
+    return [p.tolist() for p in np.split(path, cuts)], ids, table
 
 
-def _parts(model: Model, text: tuple[list[str], list[bool]], path: list[int], scores: dict[str, np.ndarray]) -> list[tuple[str, float, int]]:
+def _parts(model: Model, ws: list[str], path: list[int], rows: list[int], table: np.ndarray) -> list[tuple[str, float, int]]:
     """(language, confidence, letters) of each segment long enough to count, neighbours of one language joined."""
-    ws, _ = text
-    runs: list[list] = []
-    for w, x in zip(ws, path):
-        if runs and runs[-1][0] == x:
-            runs[-1][1].append(w)
-        else:
-            runs.append([x, [w]])
     out: list[list] = []
-    for x, part in runs:
-        joined = "".join(part)
-        letters = len(joined)
-        need = LEAST_IDEOGRAPHS if _IDEOGRAPH.match(joined) else LEAST_LETTERS
-        if letters < need:
-            continue
-        if out and out[-1][0] == x:
-            out[-1][1] += part
-            out[-1][2] += letters
-        else:
-            out.append([x, list(part), letters])
+    a = 0
+    while a < len(ws):
+        x, b = path[a], a + 1
+        while b < len(ws) and path[b] == x:
+            b += 1
+        letters = sum(map(len, ws[a:b]))
+        if letters >= LEAST_LETTERS or letters >= LEAST_IDEOGRAPHS and _IDEOGRAPH.match(ws[a]):
+            if out and out[-1][0] == x:
+                out[-1][1] += rows[a:b]
+                out[-1][2] += letters
+            else:
+                out.append([x, rows[a:b], letters])
+        a = b
     done = []
     for x, part, letters in out:
-        total = np.sum([scores[w] for w in part], axis=0)
-        total = (total - total.max()) / (3.0 * len(ORDERS))  # n-grams of one word are not independent
-        p = np.exp(total - total[x])
-        done.append((model.langs[x], float(1.0 / p.sum()), letters))
+        total = table[part].sum(axis=0) / (3.0 * len(ORDERS))  # n-grams of one word are not independent
+        done.append((model.langs[x], float(1.0 / np.exp(np.minimum(total - total[x], 50.0)).sum()), letters))
     return done
 
 
@@ -241,7 +253,7 @@ def label_code(label: str | Column) -> Column:
     return F.try_element_at(known, raw)
 
 
-def fit_on(messages: DataFrame, labels: DataFrame, names: regex.Pattern | None, sample: int = SAMPLE) -> Model:
+def fit_on(messages: DataFrame, labels: DataFrame, names: Names | None, sample: int = SAMPLE) -> Model:
     """The model of a sample of labelled rows: of each language about ``sample``, the ids of lowest hash, whatever the size of the table."""
     coded = labels.select(F.col("msg_id").alias("id"), label_code("lang").alias("code")).where("code is not null and id is not null")
     n = {r["code"]: r["n"] for r in coded.groupBy("code").agg(F.count("*").alias("n")).collect()}  # a row for each language
@@ -254,27 +266,24 @@ def fit_on(messages: DataFrame, labels: DataFrame, names: regex.Pattern | None,
     return fit([words(r["text"], names) for r in rows], [r["code"] for r in rows])
 
 
-def message_languages(messages: DataFrame, model: Model, names: regex.Pattern | None, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def message_languages(messages: DataFrame, model: Model, names: Names | None, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """(msg_id, segment, lang, confidence, letters, running): the segments of each message in order; ``running`` is its letters of running text.
 
     A message without a segment that counts (null, empty, short, symbols only) has one row with
     a null segment, language and confidence.  Null ids are left out; repeated rows are repeated.
     """
     spark = messages.sparkSession
-    held = spark.sparkContext.broadcast((model, names.pattern if names is not None else None))
+    held = spark.sparkContext.broadcast((model, names))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m, pattern = held.value
-        own = regex.compile(pattern) if pattern else None
+        m, own = held.value
         for b in batches:
             texts = [words(t, own) for t in b["text"]]
-            paths = segments(m, texts)
-            need = list({w for ws, _ in texts for w in ws})
-            scores = dict(zip(need, m.scores(need))) if need else {}
+            paths, rows_of, scores = segments(m, texts)
             out = []
-            for i, t, p in zip(b["id"].tolist(), texts, paths):
-                running = sum(map(len, t[0]))
-                found = _parts(m, t, p, scores)
+            for i, (ws, _), p, r in zip(b["id"].tolist(), texts, paths, rows_of):
+                running = sum(map(len, ws))
+                found = _parts(m, ws, p, r, scores)
                 out.extend((i, k, lang, c, n, running) for k, (lang, c, n) in enumerate(found))
                 if not found:
                     out.append((i, None, None, None, 0, running))
@@ -286,12 +295,12 @@ def message_languages(messages: DataFrame, model: Model, names: regex.Pattern |
     return rows.mapInPandas(run, "msg_id long, segment int, lang string, confidence double, letters int, running int")
 
 
-def vocabulary_names(vocab: DataFrame, bound: int = 100_000) -> regex.Pattern | None:
-    """Pattern of the dictionary's aliases, which must be ``bound`` at most: it is sent to all tasks."""
+def vocabulary_names(vocab: DataFrame, bound: int = 100_000) -> Names:
+    """The dictionary's aliases and names, which must be ``bound`` at most: it is sent to all tasks."""
     rows = vocab.select("alias", "name").limit(bound + 1).collect()
     if len(rows) > bound:
         raise ValueError(f"more than {bound} aliases")
-    return names_pattern([x for r in rows for x in (r["alias"], r["name"])])
+    return Names([x for r in rows for x in (r["alias"], r["name"])])
 
 
 def wrong_or_mixed(messages: DataFrame, labels: DataFrame, vocab: DataFrame) -> DataFrame:
