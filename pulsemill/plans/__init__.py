@@ -9,7 +9,7 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-from . import boards, messages, pairs, trailing  # noqa: F401
+from . import boards, diagnostics, messages, pairs, trailing  # noqa: F401
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL", "ship_package"]
