@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
+from ..session import spread
 from .normalize import clean_text
 
 try:
@@ -108,12 +109,12 @@ def pattern_entities(text: Column) -> Column:
 
 
 class _Finder:
-    """Which aliases stand in a text: one walk over it with an automaton, or a test for each where none is installed."""
+    """A text's entities. The dictionary's by one walk over it with an automaton, or a test for each alias where none is installed."""
 
     def __init__(self, vocab: Vocabulary) -> None:
-        self.names = [(n, k) for n, (k, _) in vocab.names().items()]
-        of = {n: i for i, (n, _) in enumerate(self.names)}
-        self.first = {}
+        self.names = [{"name": n, "entity_type": k, "confidence": DICTIONARY} for n, (k, _) in vocab.names().items()]
+        of = {e["name"]: i for i, e in enumerate(self.names)}
+        self.first: dict[str, set[int]] = {}
         for alias, name, _ in vocab.rows:
             if alias:
                 self.first.setdefault(alias, set()).add(of[name])
@@ -124,41 +125,63 @@ class _Finder:
                 self.walk.add_word(alias, found)
             self.walk.make_automaton()
 
-    def __call__(self, text: str | None) -> list[dict]:
+    def dictionary(self, text: str | None) -> list[dict]:
         if not text:
             return []
         low = text.lower()
         hits = (found for _, found in self.walk.iter(low)) if self.walk is not None else (f for a, f in self.first.items() if a in low)
-        return [{"name": self.names[i][0], "entity_type": self.names[i][1], "confidence": DICTIONARY} for i in sorted(set().union(*hits))]
+        return [self.names[i] for i in sorted(set().union(*hits))]
 
+    def both(self, text: str | None) -> list[dict]:
+        out = {e["name"]: e for e in self.dictionary(text)}
+        for name, kind in _by_pattern(text or ""):
+            out.setdefault(name, {"name": name, "entity_type": kind, "confidence": PATTERN})
+        return list(out.values())
 
-def dictionary_entities(text: Column, vocab: Vocabulary) -> Column:
-    """Entities one of whose aliases stands anywhere in the text, whatever the case; each name once, in the dictionary's order."""
+
+def _by_pattern(text: str) -> list[tuple[str, str]]:
+    """(name, type) of the entities by pattern, as ``pattern_entities`` has them."""
+    if "$" not in text and len(text) < 32:
+        return []
+    found = [(s.upper(), "ticker") for s in _SYMBOL.findall(text) if not "0" <= s[0] <= "9"]
+    if _LONG.search(text):
+        found += [(s, "project") for s in _EVM.findall(text)]
+        found += [(s, "project") for s in _SOLANA.findall(text)]
+    return found
+
+
+_SYMBOL, _EVM, _SOLANA, _LONG = re.compile(SYMBOL, re.ASCII), re.compile(EVM), re.compile(SOLANA), re.compile("[0-9A-Za-z]{32}")
+
+
+def _udf(vocab: Vocabulary, method: str):
     held: list[_Finder] = []
 
     @F.pandas_udf(ENTITIES)
     def run(values: pd.Series) -> pd.Series:
         if not held:
             held.append(_Finder(vocab))
-        known = {t: held[0](t) for t in values.unique()}
+        find = getattr(held[0], method)
+        known = {t: find(t) for t in values.unique()}
         return values.map(known)
 
-    return run(text)
+    return run
+
+
+def dictionary_entities(text: Column, vocab: Vocabulary) -> Column:
+    """Entities one of whose aliases stands anywhere in the text, whatever the case; each name once, in the dictionary's order."""
+    return _udf(vocab, "dictionary")(text)
 
 
-def with_entities(messages: DataFrame, text: Column, vocab: Vocabulary, out_col: str = "entities") -> DataFrame:
-    """``messages`` with dictionary entities, then those by pattern whose name is not among them; each name once, the first one."""
-    d, p = F.col("_dictionary"), F.col("_pattern")
-    rows = messages.withColumn("_dictionary", dictionary_entities(text, vocab)).withColumn("_pattern", pattern_entities(text))
-    new = F.filter(p, lambda e, i: ~F.exists(d, lambda x: x["name"] == e["name"]) & ~F.exists(F.slice(p, F.lit(1), i), lambda x: x["name"] == e["name"]))
-    return rows.withColumn(out_col, F.when(d.isNull(), new).when(p.isNull(), d).otherwise(F.concat(d, new))).drop("_dictionary", "_pattern")
+def entities(text: Column, vocab: Vocabulary) -> Column:
+    """Dictionary entities, then those by pattern whose name is not among them; each name once, the first one."""
+    return _udf(vocab, "both")(text)
 
 
 def mention_rows(messages: DataFrame, vocab: Vocabulary, kols: DataFrame | None = None) -> DataFrame:
     """One row for each message and entity, for messages that are no duplicates; null texts give none."""
     text = clean_text("text")
     rows = messages.where("not is_duplicate and text is not null").select("id", "raw_source", "ts", "engagement", "author_weight", F.lower(F.coalesce("author", F.lit(""))).alias("who"), text.alias("text"))
-    rows = with_entities(rows, F.col("text"), vocab).withColumn("e", F.explode("entities"))
+    rows = spread(rows).withColumn("entities", entities(F.col("text"), vocab)).withColumn("e", F.explode("entities"))
     if kols is not None:
         rows = rows.join(F.broadcast(kols.select(F.col("name").alias("who"), F.lit(True).alias("kol")).distinct().limit(MOST_NAMES)), "who", "left")
     else:

@@ -12,6 +12,7 @@ from ..operators import fingerprints as fp
 from ..operators import keyed
 from ..operators import normalize as n
 from ..operators.hotness import at
+from ..session import spread
 from ..sources.tables import table
 from .registry import register
 
@@ -72,12 +73,12 @@ u as (select id, sum(case when coalesce(o, 0) * 2 > n then (1::hugeint << k::hug
 """
 register(
     "simhash64",
-    lambda spark, d: messages(spark, d).where("text is not null").select("id", fp.simhash64("text").alias("simhash")),
+    lambda spark, d: spread(messages(spark, d).where("text is not null").select("id", "text")).select("id", fp.simhash64("text").alias("simhash")),
     None,
 )
 register(
     "simhash_check",
-    lambda spark, d: messages(spark, d).where("simhash is not null").select(F.count_if(fp.simhash64("text") == F.col("simhash")).alias("same"), F.count("*").alias("n")),
+    lambda spark, d: spread(messages(spark, d).where("simhash is not null").select("text", "simhash")).select(F.count_if(fp.simhash64("text") == F.col("simhash")).alias("same"), F.count("*").alias("n")),
     "select count(*) same, count(*) n from normalized_messages where simhash is not null",
 )
 _NEAR = """
@@ -144,7 +145,7 @@ register(
 _MERGED = ", e as (select id, name, entity_type, 1.0::double confidence from d union all (select id, name, arg_min(entity_type, prio), 0.95::double from r where not exists (select 1 from d where d.id = r.id and d.name = r.name) group by id, name))\n"
 register(
     "merged_entities",
-    lambda spark, d: x.with_entities(messages(spark, d).select("id", "text"), n.clean_text("text"), vocabulary(spark, d)).select("id", F.explode("entities").alias("e")).select("id", "e.name", "e.entity_type", "e.confidence"),
+    lambda spark, d: spread(messages(spark, d).select("id", "text")).select("id", x.entities(n.clean_text("text"), vocabulary(spark, d)).alias("entities")).select("id", F.explode("entities").alias("e")).select("id", "e.name", "e.entity_type", "e.confidence"),
     _PATTERNS + _MERGED + "select id, name, entity_type, confidence from e",
 )
 register(

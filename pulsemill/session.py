@@ -56,3 +56,12 @@ def instant(column: str | Column) -> Column:
 def tasks(spark: SparkSession) -> int:
     """Shuffle partitions of the session, the width asked for where an exchange is written out by hand."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` for work that is heavy on each row: dealt out anew where it comes in fewer partitions than there are cores.
+
+    A table of many files stays as it is read; only one of a few (which no more tasks could share) is moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
