@@ -21,6 +21,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 # Fixed value: the public pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -304,4 +306,4 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield from emit(keys, texts)
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")

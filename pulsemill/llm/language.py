@@ -19,6 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .textform import _INVISIBLE, LOOK_ALIKE
 
 BUCKETS = 1 << 16
@@ -292,7 +293,7 @@ def message_languages(messages: DataFrame, model: Model, names: Names | None, id
             yield f
 
     rows = messages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
-    return rows.mapInPandas(run, "msg_id long, segment int, lang string, confidence double, letters int, running int")
+    return spread(rows).mapInPandas(run, "msg_id long, segment int, lang string, confidence double, letters int, running int")
 
 
 def vocabulary_names(vocab: DataFrame, bound: int = 100_000) -> Names:

@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .textform import consistent
 
 LEAST_SHARE = 0.4
@@ -235,7 +236,7 @@ def _block(items: DataFrame, docs: DataFrame) -> DataFrame:
         if ids:
             yield emit(ids, forms)
 
-    return docs.mapInPandas(run, "doc_id long, item_id long")
+    return spread(docs).mapInPandas(run, "doc_id long, item_id long")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:

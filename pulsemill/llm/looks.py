@@ -9,6 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .textform import consistent, folded
 
 
@@ -51,7 +52,7 @@ def look_alike_pairs(texts: DataFrame, id_col: str = "id", text_col: str = "text
             yield pd.DataFrame({"id": b["id"], "form": form, "kind": b["text"].map(_digest)})
 
     rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    marked = rows.mapInPandas(run, "id long, form binary, kind binary")
+    marked = spread(rows).mapInPandas(run, "id long, form binary, kind binary")
     several = marked.groupBy("form").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).where("low <> high").select("form")
     cases = marked.join(several, "form", "left_semi").distinct()
     kinds = cases.select("form", "kind").distinct()

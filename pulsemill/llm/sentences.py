@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 CHUNK = 256
 #: characters of documents handled at once
 RUN_CHARS = 2_000_000
@@ -324,4 +326,4 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 at = to
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInPandas(run, f"`{id_col}` {kind}, start_pos int, end_pos int")
+    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInPandas(run, f"`{id_col}` {kind}, start_pos int, end_pos int")
