@@ -152,6 +152,48 @@ def hotness_board(mentions: DataFrame, vocab: DataFrame | None, as_of: datetime.
     )
 
 
+def hotness_boards(mentions: DataFrame, vocab: DataFrame, as_of: datetime.datetime, boards: tuple[Board, ...]) -> DataFrame:
+    """``hotness_board`` of several windows, from one pass over the mentions and one ranking."""
+    end, ts = quarter_of(as_of), F.col("ts")
+    figures, gates, reach = [], [], as_of
+    for i, b in enumerate(boards):
+        start, base = end - datetime.timedelta(hours=b.hours), end - datetime.timedelta(days=b.baseline_days)
+        inside = (ts >= at(start)) & (ts < at(end))
+        reach = min(reach, base, as_of - datetime.timedelta(days=b.baseline_days))
+        figures += [
+            F.count_if(ts >= _back(as_of, b.hours)).alias(f"short_{i}"),
+            F.count_if((ts >= at(base)) & (ts < at(start))).alias(f"base_{i}"),
+            F.size(F.collect_set(F.when(inside, F.col("raw_source")))).cast("long").alias(f"cross_{i}"),  # a set of sources, of which there are few
+            F.coalesce(F.sum(F.when(inside, F.col("engagement"))), F.lit(0)).alias(f"sum_{i}"),
+            F.count_if(ts >= _back(as_of, 24 * b.baseline_days)).alias(f"all_{i}"),
+        ]
+        gates.append(F.sum(f"all_{i}").alias(f"g_{i}"))
+    per = known(mentions, as_of).where(ts >= at(reach)).groupBy("entity").agg(*figures)
+    gate = per.agg(F.struct(*gates).alias("g")).scalar()
+    each = F.array(
+        *(
+            F.struct(
+                F.lit(b.window).alias("window_type"), F.lit(b.top_k).alias("top_k"), F.col(f"short_{i}").alias("short_count"), F.col(f"base_{i}").alias("baseline_total"), F.col(f"cross_{i}").alias("cross_source"),
+                F.col(f"sum_{i}").alias("engagement_sum"), (F.col(f"base_{i}") / (b.baseline_days * 24 - b.hours)).alias("count_baseline"), F.lit(float(b.smoothing)).alias("smoothing"), F.lit(b.cross_weight).alias("weight"),
+                ((F.col(f"base_{i}") == 0) & (F.col(f"short_{i}") >= b.new_entity_count)).alias("is_new_entity"),
+                ((F.col(f"short_{i}") > 0) & (gate[f"g_{i}"] >= b.min_baseline) & ~F.upper("entity").isin([x.upper() for x in b.exclude] or [""])).alias("ok"),
+            )
+            for i, b in enumerate(boards)
+        )
+    )
+    rows = per.select("entity", F.explode(each).alias("b")).select("entity", "b.*").where("ok")
+    rows = rows.withColumn("growth_rate", F.col("short_count") / F.greatest("count_baseline", "smoothing"))
+    rows = rows.withColumn("final_score", F.col("growth_rate") * (1 + F.col("weight") * (F.col("cross_source") - 1)))
+    order = Window.partitionBy("window_type").orderBy(F.desc("final_score"), F.desc("short_count"), "entity")
+    top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(b.top_k for b in boards)).where(F.col("rank") <= F.col("top_k"))
+    kinds = vocab.groupBy(F.col("name").alias("entity")).agg(F.min_by("entity_type", "ord").alias("entity_type"))
+    top = top.join(kinds, "entity", "left").withColumn("entity_type", F.coalesce("entity_type", F.lit("ticker")))
+    return top.select(
+        at(end).alias("window_end"), "window_type", "entity", "entity_type", F.col("short_count").alias("count_short"), "count_baseline", "growth_rate",
+        "cross_source", "engagement_sum", "is_new_entity", "final_score", "rank",
+    )
+
+
 def snapshot_history(mentions: DataFrame, first: datetime.datetime, last: datetime.datetime, boards: tuple[Board, ...], step_hours: int) -> DataFrame:
     """Boards at every ``step_hours`` from ``first`` to ``last`` (moments on a quarter): the same figures, all moments in one pass.
 

@@ -59,11 +59,7 @@ for _w, _b in h.BOARDS.items():
 
 
 def hotness_all_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for b in h.BOARDS.values():
-        part = _board(b)(spark, sf_dir)
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _rounded(h.hotness_boards(mentions(spark, sf_dir), table(spark, sf_dir, "vocab"), AS_OF, tuple(h.BOARDS.values())))
 
 
 register("hotness_all_windows", hotness_all_windows, "\nunion all\n".join(f"(select * from ({board_sql(b)}))" for b in h.BOARDS.values()))
