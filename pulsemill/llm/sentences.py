@@ -110,7 +110,7 @@ _LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"“”«»「」()（），。
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
 _LEAD = re.compile(r"(?m)^[^\S\n]*(?:(?P<stamp>\[\d{1,2}:\d{2}(?::\d{2})?\](?:[^\S\n]*@?[^\s:：]+[:：])?)|(?P<item>\d{1,2}[.)](?=\s)|[-–•‣◦·*](?=[^\S\n]))|(?P<sign>[#>]+(?=[^\S\n])|(?:Q|A|问|答|質|問)[:：]))")
 _TAIL = regex.compile(r"(?:[^\S\n]*(?:<\|\w+\|>|[\p{So}\p{Sk}\p{Cs}‍️\U0001f3fb-\U0001f3ff]+))+(?=[^\S\n]*(?:\n|\Z))")
-_THAI_GAP = re.compile(r"(?<=[฀-๿])[^\S\n]+(?=[฀-๿])")
+_THAI_GAP = re.compile(r"(?<=[\u0e01-\u0e3a\u0e40-\u0e4e])[^\S\n]+(?=[\u0e01-\u0e3a\u0e40-\u0e4e])")
 _SPAN = re.compile(
     "“[^“”]*”|„[^„“”]*[“”]|«[^«»]*»|「[^「」]*」|『[^『』]*』|\"[^\"]*\"|(?<!\\w)'(?=\\S)[^']*'(?!\\w)|‘[^‘’]*’|\\([^()]*\\)|（[^（）]*）|【[^【】]*】|(?<!\\w)\\[[^\\[\\]]*\\]"
 )
@@ -243,7 +243,7 @@ def symbols(text: str, base: np.ndarray) -> np.ndarray:
     for m in _TAIL.finditer(text):
         part = out[m.start() : m.end()]
         part[part == TEXT] = TAIL
-    if "฀" <= max(text) and _THAI_GAP.search(text):
+    if _THAI_GAP.search(text):
         for m in _THAI_GAP.finditer(text):
             out[m.start()] = GAP
     hidden = [m.span() for m in _LINK.finditer(text)] if "://" in text or "www." in text else []
