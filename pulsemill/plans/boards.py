@@ -216,3 +216,28 @@ register(
     lambda spark, d: history(spark, d).groupBy(F.when(F.col("is_new_entity"), "new").when(F.col("cross_source") >= 2, "cross").otherwise("single").alias("hit"), "window_type").agg(F.count("*").alias("n")),
     HISTORY + "select case when is_new_entity then 'new' when cross_source >= 2 then 'cross' else 'single' end hit, window_type, count(*) n from hist group by 1, 2",
 )
+
+
+# ---- lookups in the history ----
+
+_SINCE = LAST - datetime.timedelta(days=2)
+register(
+    "lookup_point",
+    lambda spark, d: _rounded(history(spark, d).where((F.col("entity") == "RICAKI") & (F.col("window_end") == h.at(LAST))).select("window_type", "rank", "growth_rate")),
+    HISTORY + f"select window_type, rank, round(growth_rate, 6) growth_rate from hist where entity = 'RICAKI' and window_end = {_ts(LAST)}",
+)
+register(
+    "lookup_latest",
+    lambda spark, d: history(spark, d).where((F.col("window_type") == "24h") & (F.col("window_end") >= h.at(_SINCE))).groupBy("entity").agg(F.max("window_end").alias("window_end"), F.max_by("rank", "window_end").alias("rank")),
+    HISTORY + f"select entity, max(window_end) window_end, arg_max(rank, window_end) as rank from hist where window_type = '24h' and window_end >= {_ts(_SINCE)} group by 1",
+)
+register(
+    "lookup_recent",
+    lambda spark, d: history(spark, d).where("window_type = '6h'").orderBy(F.desc("window_end"), "rank").limit(30).select("window_end", "entity", "rank"),
+    HISTORY + "select window_end, entity, rank from hist where window_type = '6h' order by window_end desc, rank limit 30",
+)
+register(
+    "type_of_hits",
+    lambda spark, d: history(spark, d).join(table(spark, d, "vocab").groupBy(F.col("name").alias("entity")).agg(F.min_by("entity_type", "ord").alias("entity_type")), "entity", "left").groupBy(F.coalesce("entity_type", F.lit("other")).alias("entity_type"), F.when(F.col("is_new_entity"), "new").otherwise("known").alias("hit")).agg(F.count("*").alias("n"), F.countDistinct("entity").alias("entities")),
+    HISTORY + "select coalesce((select arg_min(v.entity_type, v.ord) from vocab v where v.name = hist.entity), 'other') entity_type, case when is_new_entity then 'new' else 'known' end hit, count(*) n, count(distinct entity) entities from hist group by 1, 2",
+)

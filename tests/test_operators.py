@@ -276,3 +276,17 @@ def test_every_query_has_columns_and_runs(spark, small):
     assert entry.entry(spark).count() > 0
     for name in ("hotness_24h_open", "snapshot_history", "merged_entities", "new_pairs", "json_parse", "asof_snapshot", "p2_totals", "p4_hours"):
         assert queries[name](spark, small).columns
+
+
+def test_tables_are_created_and_dropped(spark, small, tmp_path):
+    from pulsemill.sources import schemas
+    from pulsemill.sources.tables import table
+
+    spark.sql(f"create database if not exists pulse_test location '{tmp_path}/db'")
+    for _ in range(2):
+        schemas.create_tables(spark, "pulse_test")
+    assert {t.name for t in spark.catalog.listTables("pulse_test")} == set(schemas.SCHEMAS)
+    for name in ("twitter_posts", "binance_square_posts", "discord_messages", "normalized_messages", "entity_mentions"):
+        assert set(spark.table(f"pulse_test.{name}").dtypes) == set(table(spark, small, name).dtypes)
+    schemas.drop_tables(spark, "pulse_test")
+    assert all(set(k) <= {c.strip().split()[0].strip("`") for c in schemas.SCHEMAS[t].split(", ")} for t, k in schemas.KEYS.items())
