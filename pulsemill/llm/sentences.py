@@ -88,10 +88,10 @@ def transduce(symbols: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
 
 
 # Abbreviations whose full stop never ends a sentence, in lower case.
-JOINING = frozenset(
-    "dr prof mr mrs ms sr sra dra srta hr fr frau ts ths gs no nr nº núm fig figs vs cf approx aprox ca yakl ок рис см стр табл п pág págs pag p pp tr vol art "
-    "e.g i.e z.b d.h u.a p.ej p.ex ej ex bkz örn bzw vgl т.е т.к т.н др проф г-н डॉ पृ श्री सं الد د st.petersburg gen gov sen rep lt col sgt rev hon".split()
-)
+JOINING = frozenset("dr prof mr mrs ms sra dra srta ts ths vs cf approx aprox ca yakl ок см e.g i.e z.b d.h u.a p.ej p.ex ej ex bkz örn bzw vgl т.е т.к т.н г-н डॉ पृ श्री".split())
+# Those that are titles only with a capital, and those that need a number behind them.
+TITLES = frozenset("sr jr hr fr gs gen gov sen rep lt col sgt rev hon др проф st".split())
+NUMBERED = frozenset("no nr nº núm fig figs рис стр табл p pp pág págs pag tr vol art".split())
 # Abbreviations that may stand at a sentence's end.
 ENDING = frozenset(
     "u.s u.k u.n e.u a.m p.m etc inc ltd co corp llc jr al st ave rd jan feb mar apr jun jul aug sep sept oct nov dec usw v.b v.v vb тыс млн млрд т.д т.п г гг руб д п".split()
@@ -162,13 +162,13 @@ def _ends(text: str, i: int, e: int, q: int, lo: int, hi: int) -> bool:
             if c.isdigit():
                 return not (before.isdigit() or before.isascii())
             if c.isupper():
-                return (before.islower() or before.isdigit() or not before.isascii()) and len(_token(text, i, lo)) != 1 and _token(text, i, lo) not in JOINING
+                return (before.islower() or before.isdigit() or not before.isascii()) and len(_token(text, i, lo)) != 1 and _token(text, i, lo) not in JOINING | TITLES
             if c.isalpha():
                 return not c.islower() and not (before.isascii() and before.isupper() and len(_token(text, i, lo)) == 1)
             return c not in "/\\@_=&"
         t = _token(text, i, lo)
         if t:
-            if t in JOINING:
+            if t in JOINING or t in NUMBERED and c.isdigit() or t in TITLES and text[i - len(t)].isupper() and c.isupper() and t not in ENDING:
                 return False
             last = t.rsplit(".", 1)[-1]
             if t in ENDING or last in ENDING and "." in t:
