@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import cooldown
 from ..operators import hotness as h
 from ..sources.tables import table
 from .registry import register
@@ -241,3 +242,25 @@ register(
     lambda spark, d: history(spark, d).join(table(spark, d, "vocab").groupBy(F.col("name").alias("entity")).agg(F.min_by("entity_type", "ord").alias("entity_type")), "entity", "left").groupBy(F.coalesce("entity_type", F.lit("other")).alias("entity_type"), F.when(F.col("is_new_entity"), "new").otherwise("known").alias("hit")).agg(F.count("*").alias("n"), F.countDistinct("entity").alias("entities")),
     HISTORY + "select coalesce((select arg_min(v.entity_type, v.ord) from vocab v where v.name = hist.entity), 'other') entity_type, case when is_new_entity then 'new' else 'known' end hit, count(*) n, count(distinct entity) entities from hist group by 1, 2",
 )
+
+_COOL = cooldown.Cooldown(quiet=datetime.timedelta(hours=8), heartbeat=datetime.timedelta(hours=24), escalation=1.5, step=0.2)
+
+
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history(spark, sf_dir).where("window_type = '24h'").select(F.col("entity").alias("key"), F.col("window_end").alias("at"), F.round("growth_rate", 6).alias("growth"), F.col("cross_source").alias("cross"))
+
+
+def cooldown_pairwise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each signal against the key's one before it, whether that passed or not."""
+    w = Window.partitionBy("key").orderBy("at")
+    s = signals(spark, sf_dir).select("*", *(F.lag(c).over(w).alias(f"last_{c}") for c in ("at", "growth", "cross")))
+    return s.select("key", "at", cooldown.decided(F.col("last_at"), F.col("last_growth"), F.col("last_cross"), F.col("at"), F.col("growth"), F.col("cross"), _COOL).alias("why"))
+
+
+register(
+    "cooldown_pairwise",
+    cooldown_pairwise,
+    HISTORY + """, s as (select entity as "key", window_end as "at", round(growth_rate, 6) growth, cross_source c, lag(window_end) over w l, lag(round(growth_rate, 6)) over w g, lag(cross_source) over w k from hist where window_type = '24h' window w as (partition by entity order by window_end))
+select "key", "at", case when l is null then 'first' when "at" - l >= interval 24 hour then 'heartbeat' when g > 0 and growth >= g * 1.5::double then 'escalated' when c > k then 'wider' when growth >= g * 1.2::double then 'grown' when "at" - l >= interval 8 hour then 'again' end why from s""",
+)
+register("cooldown_fold", lambda spark, d: cooldown.passed(signals(spark, d), _COOL))

@@ -290,3 +290,27 @@ def test_tables_are_created_and_dropped(spark, small, tmp_path):
         assert set(spark.table(f"pulse_test.{name}").dtypes) == set(table(spark, small, name).dtypes)
     schemas.drop_tables(spark, "pulse_test")
     assert all(set(k) <= {c.strip().split()[0].strip("`") for c in schemas.SCHEMAS[t].split(", ")} for t, k in schemas.KEYS.items())
+
+
+def test_cooldown(spark):
+    from pulsemill.operators import cooldown as cd
+
+    c = cd.Cooldown()
+    t = lambda **k: NOW + dt.timedelta(**k)
+    for last, at, growth, cross, want in (
+        (None, NOW, 25.3, 1, cd.FIRST), ((NOW, 25, 1), t(minutes=30), 25, 1, None), ((NOW, 20, 1), t(minutes=30), 40, 1, cd.ESCALATED), ((NOW, 22, 1), t(minutes=30), 23, 2, cd.WIDER),
+        ((NOW, 20, 1), t(hours=6, minutes=5), 20, 1, cd.HEARTBEAT), ((NOW, 20, 1), t(minutes=75), 20, 1, cd.AGAIN),
+    ):
+        assert cd.decide(last, at, growth, cross, c) == want
+    assert cd.decide((NOW, 20, 1), t(minutes=30), 27, 1, cd.Cooldown(step=0.3)) == cd.GROWN
+    r = random.Random(2)
+    rows = [(r.choice("abc"), t(minutes=r.randrange(3000)), r.random() * 9, r.randrange(3), "clash") for _ in range(200)] + [(None, NOW, 1.0, 1, ""), ("a", None, 1.0, 1, "")]
+    want, last = set(), {}
+    for k, at, g, x, _ in sorted(rows[:200]):
+        w = cd.decide(last.get(k), at, g, x, c)
+        if w:
+            last[k] = (at, g, x)
+            want.add((k, at, g, x, w))
+    df = spark.createDataFrame(rows, "key string, at timestamp_ntz, growth double, cross int, why string")
+    assert {tuple(x) for x in cd.passed(df, c).collect()} == want
+    assert cd.passed(df.limit(0), c).count() == 0
