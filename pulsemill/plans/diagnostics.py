@@ -191,7 +191,7 @@ def json_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("i", r.parsed_answer(F.col("raw")).alias("p")).select("i", "p.*")
 
 
-register("json_parse", json_parse, """select * from (values (0, true, 'a', null, null, 'bullish', 0.85::double), (1, true, 'b', null, null, null, 0.5), (2, true, 'c', null, null, 'neutral', null),
+register("json_parse", json_parse, """select * from (values (0, true, 'a', null::varchar, null::varchar, 'bullish', 0.85::double), (1, true, 'b', null, null, null, 0.5), (2, true, 'c', null, null, 'neutral', null),
 (3, false, null, null, null, null, null), (4, false, null, null, null, null, null), (5, false, null, null, null, null, null), (6, false, null, null, null, null, null)) v(i, valid, narrative, catalyst, fund_logic, sentiment, confidence)""")
 
 
