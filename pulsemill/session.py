@@ -64,4 +64,7 @@ def spread(df: DataFrame) -> DataFrame:
     A table of many files stays as it is read; only one of a few (which no more tasks could share) is moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    planned = df._jdf.queryExecution()
+    if "Exchange" in planned.executedPlan().toString():  # dealt out already; asking for its partitions would run it
+        return df
+    return df if planned.toRdd().getNumPartitions() >= cores else df.repartition(cores)
