@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import cut, spread
 from .textform import consistent, folded
 
 
@@ -52,9 +52,9 @@ def look_alike_pairs(texts: DataFrame, id_col: str = "id", text_col: str = "text
             yield pd.DataFrame({"id": b["id"], "form": form, "kind": b["text"].map(_digest)})
 
     rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    marked = spread(rows).mapInPandas(run, "id long, form binary, kind binary")
+    marked = cut(spread(rows).mapInPandas(run, "id long, form binary, kind binary"), "forms")  # read twice
     several = marked.groupBy("form").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).where("low <> high").select("form")
-    cases = marked.join(several, "form", "left_semi").distinct()
+    cases = cut(marked.join(several, "form", "left_semi").distinct(), "cases")  # read five times
     kinds = cases.select("form", "kind").distinct()
     ways = kinds.withColumnRenamed("kind", "kind_a").join(kinds.withColumnRenamed("kind", "kind_b"), "form").where("kind_a < kind_b")
     a = cases.select("form", F.col("kind").alias("kind_a"), F.col("id").alias("x"))
