@@ -285,7 +285,7 @@ def test_tables_are_created_and_dropped(spark, small, tmp_path):
     spark.sql(f"create database if not exists pulse_test location '{tmp_path}/db'")
     for _ in range(2):
         schemas.create_tables(spark, "pulse_test")
-    assert {t.name for t in spark.catalog.listTables("pulse_test")} == set(schemas.SCHEMAS)
+    assert {t.name for t in spark.catalog.listTables("pulse_test") if not t.isTemporary} == set(schemas.SCHEMAS)
     for name in ("twitter_posts", "binance_square_posts", "discord_messages", "normalized_messages", "entity_mentions"):
         assert set(spark.table(f"pulse_test.{name}").dtypes) == set(table(spark, small, name).dtypes)
     schemas.drop_tables(spark, "pulse_test")
