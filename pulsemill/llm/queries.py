@@ -26,7 +26,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = together.scored(together.pair_counts(table(spark, sf_dir, "entity_mentions"), least=2))
+    found = together.scored(together.pair_counts(table(spark, sf_dir, "entity_mentions")))
     return found.select(*(F.col(c) for c in ("item_a", "item_b", "c", "n_a", "n_b", "n")), *(F.round(c, 6).alias(c) for c in ("lift", "pmi", "jaccard")))
 
 

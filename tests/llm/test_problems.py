@@ -156,6 +156,15 @@ def test_pair_counts(spark, block, least):
     assert together.pair_counts(spark.createDataFrame([], BASKETS)).count() == 0
 
 
+def test_scores_have_pairs_of_one_message(spark, tmp_path):
+    from pulsemill.llm.queries import p3_scores
+
+    rows = [(1, "a"), (1, "b"), (2, "a"), (2, "c"), (3, "a"), (3, "c"), (3, "c"), (4, "d")]
+    spark.createDataFrame(_clash(rows), BASKETS).write.parquet(f"{tmp_path}/entity_mentions.parquet")
+    got = {(r["item_a"], r["item_b"]): (r["c"], r["n_a"], r["n_b"], r["n"], r["lift"]) for r in p3_scores(spark, str(tmp_path)).collect()}
+    assert got == {("a", "b"): (1, 3, 1, 4, 1.333333), ("a", "c"): (2, 3, 2, 4, 1.333333)}
+
+
 # 8: tokens
 
 
