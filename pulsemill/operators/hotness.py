@@ -194,27 +194,34 @@ def hotness_boards(mentions: DataFrame, vocab: DataFrame, as_of: datetime.dateti
     )
 
 
-def snapshot_history(mentions: DataFrame, first: datetime.datetime, last: datetime.datetime, boards: tuple[Board, ...], step_hours: int) -> DataFrame:
-    """Boards at every ``step_hours`` from ``first`` to ``last`` (moments on a quarter): the same figures, all moments in one pass.
+def snapshot_history(mentions: DataFrame, first: datetime.datetime, last: datetime.datetime, boards: tuple[Board, ...], step_hours: float) -> DataFrame:
+    """Boards at every ``step_hours`` (whole quarters) from ``first`` to ``last`` (moments on a quarter): the same figures, all moments in one pass.
 
-    Mentions are first brought to (entity, source, hour); each hour is then handed to the windows
-    it falls in, so the work grows with the distinct hours of an entity, not with its mentions.
+    Mentions are first brought to (entity, source, quarter).  Each quarter is handed only to the moments
+    whose short window it is in; the baseline is the difference of two running totals of the entity, so
+    neither grows with the baseline's length, and an entity has no more rows than there are quarters.
     """
-    hourly = mentions.where(F.col("entity").isNotNull() & F.col("ts").isNotNull()).groupBy("entity", "raw_source", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(F.count("*").alias("n"), F.sum("engagement").alias("e"))
+    quarter = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / 900)
+    lo, hi, step = quarter(at(first)), quarter(at(last)), round(step_hours * 4)
+    if step < 1 or step != step_hours * 4:
+        raise ValueError("moments lie on quarters of an hour")
+    cells = mentions.where(F.col("entity").isNotNull() & F.col("ts").isNotNull()).groupBy("entity", "raw_source", quarter(F.col("ts")).alias("q")).agg(F.count("*").alias("n"), F.sum("engagement").alias("e"))
+    counts = cells.groupBy("entity", F.col("q").alias("m")).agg(F.sum("n").alias("n"))
     parts = []
     for b in boards:
-        days = F.make_dt_interval(F.lit(b.baseline_days))
-        start = F.greatest(at(first), F.timestamp_seconds(F.ceil((F.unix_seconds(F.col("h").cast("timestamp")) + 3600 - F.unix_seconds(at(first).cast("timestamp"))) / (step_hours * 3600)) * (step_hours * 3600) + F.unix_seconds(at(first).cast("timestamp"))).cast("timestamp_ntz"))
-        ends = hourly.where((F.col("h") >= at(first) - days) & (F.col("h") < at(last))).withColumn("s", start).where((F.col("s") <= at(last)) & (F.col("s") <= F.col("h") + days))
-        ends = ends.withColumn("window_end", F.explode(F.sequence("s", F.least(at(last), F.col("h") + days), F.make_dt_interval(hours=F.lit(step_hours)))))
-        short = F.col("h") >= F.col("window_end") - F.make_dt_interval(hours=F.lit(int(b.hours)))
-        g = ends.groupBy("window_end", "entity").agg(
-            F.coalesce(F.sum(F.when(short, F.col("n"))), F.lit(0)).alias("short_count"),
-            F.coalesce(F.sum(F.when(~short, F.col("n"))), F.lit(0)).alias("baseline_total"),
-            F.count_distinct(F.when(short, F.col("raw_source"))).alias("cross_source"),
-            F.coalesce(F.sum(F.when(short, F.col("e"))), F.lit(0)).alias("engagement_sum"),
+        short, whole = round(b.hours * 4), b.baseline_days * 96
+        start = lo + F.ceil((F.greatest(F.col("q") + 1, lo) - lo) / step) * step
+        ends = cells.select("*", start.alias("s"), F.least(hi, F.col("q") + short).alias("t")).where("s <= t")
+        ends = ends.select("entity", "raw_source", "n", "e", F.explode(F.sequence("s", "t", F.lit(step).cast("long"))).alias("m"))
+        g = ends.groupBy("entity", "m").agg(
+            F.sum("n").alias("short_count"),
+            F.count_distinct("raw_source").alias("cross_source"),
+            F.coalesce(F.sum("e"), F.lit(0)).alias("engagement_sum"),
         )
-        g = scored(g.where("short_count > 0"), b)
+        by_time = Window.partitionBy("entity").orderBy("m")
+        until = lambda back, w=by_time: F.coalesce(F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, -back)), F.lit(0))
+        g = g.unionByName(counts, allowMissingColumns=True).withColumn("baseline_total", until(short + 1) - until(whole + 1))
+        g = scored(g.where("short_count > 0"), b).withColumn("window_end", F.timestamp_seconds(F.col("m") * 900).cast("timestamp_ntz"))
         order = Window.partitionBy("window_end").orderBy(F.desc("final_score"), F.desc("short_count"), "entity")
         g = g.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= b.top_k).withColumn("window_type", F.lit(b.window))
         parts.append(g)

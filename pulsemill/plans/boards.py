@@ -14,7 +14,7 @@ from .registry import register
 
 AS_OF = datetime.datetime(2020, 4, 20, 18, 7)
 END = h.quarter_of(AS_OF)
-#: snapshot history: six-hourly over ten days
+#: moments and boards of the history's SQL: six-hourly over ten days. The query has all of them, see ``history``.
 FIRST, LAST, STEP = datetime.datetime(2020, 4, 10), datetime.datetime(2020, 4, 20), 6
 HISTORY_BOARDS = (h.BOARDS["1h"], h.BOARDS["6h"], h.BOARDS["24h"])
 
@@ -128,8 +128,19 @@ register(
 # ---- snapshot history, and what is read from it ----
 
 
+_QUARTER = datetime.timedelta(minutes=15)
+
+
+def span(rows: DataFrame) -> tuple[datetime.datetime, datetime.datetime]:
+    """The ends of the quarters that the table's first and last mention are in."""
+    first, last = rows.where("entity is not null").agg(F.min("ts"), F.max("ts")).first()
+    return (h.quarter_of(first) + _QUARTER, h.quarter_of(last) + _QUARTER) if first else (FIRST, FIRST)
+
+
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return h.snapshot_history(mentions(spark, sf_dir), FIRST, LAST, HISTORY_BOARDS, STEP)
+    """All boards at every quarter of the table's time."""
+    rows = mentions(spark, sf_dir)
+    return h.snapshot_history(rows, *span(rows), tuple(h.BOARDS.values()), 0.25)
 
 
 def _history_part(b: h.Board) -> str:
@@ -173,7 +184,7 @@ register("latest_per_type_semi", latest_per_type, HISTORY + "select window_type,
 def resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
     hist = history(spark, sf_dir)
     g = hist.groupBy("window_end", "entity").agg(F.sort_array(F.collect_set("window_type")).alias("windows"), F.round(F.max("growth_rate"), 6).alias("peak"))
-    return g.where(F.size("windows") == 3)
+    return g.where(F.size("windows") == len(h.BOARDS))
 
 
 register("resonance", resonance, HISTORY + "select window_end, entity, list_sort(list(distinct window_type)) windows, round(max(growth_rate), 6) peak from hist group by 1, 2 having count(distinct window_type) = 3")
@@ -201,7 +212,7 @@ register(
 register(
     "persistence",
     lambda spark, d: _rounded(
-        history(spark, d).where(F.col("window_end") > h.at(LAST - datetime.timedelta(days=1))).groupBy("entity").agg(F.count("*").alias("boards"), F.avg("rank").alias("avg_rank"), F.min("rank").alias("best_rank"), F.avg("growth_rate").alias("avg_growth"), F.avg("final_score").alias("avg_score"), F.bool_or("is_new_entity").alias("ever_new"))
+        history(spark, d).where(F.col("window_end") > h.at(span(mentions(spark, d))[1] - datetime.timedelta(days=1))).groupBy("entity").agg(F.count("*").alias("boards"), F.avg("rank").alias("avg_rank"), F.min("rank").alias("best_rank"), F.avg("growth_rate").alias("avg_growth"), F.avg("final_score").alias("avg_score"), F.bool_or("is_new_entity").alias("ever_new"))
         .orderBy(F.desc("boards"), F.asc("avg_rank"), "entity").limit(25)
     ),
     HISTORY + f"""select entity, count(*) boards, round(avg(rank), 6) avg_rank, min(rank) best_rank, round(avg(growth_rate), 6) avg_growth, round(avg(final_score), 6) avg_score, bool_or(is_new_entity) ever_new

@@ -5,11 +5,11 @@ from __future__ import annotations
 import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import render as r
-from ..operators.hotness import at
+from ..operators.hotness import align_to_quarter, at
 from ..sources.tables import table
 from . import boards, pairs
 from .registry import register
@@ -196,14 +196,14 @@ register("json_parse", json_parse, """select * from (values (0, true, 'a', null:
 
 
 def asof_snapshot(spark: SparkSession, d: str) -> DataFrame:
-    """For each mention of a week its entity's newest 24 h snapshot of the twelve hours before it, if any: an as-of join by entity and block of time."""
-    m = mentions(spark, d).where((F.col("ts") >= at(NOW - datetime.timedelta(days=7))) & (F.col("ts") < at(NOW))).select("msg_id", "entity", "ts").distinct()
-    h = boards.history(spark, d).where("window_type = '24h'").select("entity", "window_end", "growth_rate")
-    block = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 43200)
-    own = m.withColumn("block", F.explode(F.array(block("ts"), block("ts") - 1)))
-    j = own.join(h.withColumn("block", block("window_end")), ["entity", "block"], "left").where("window_end is null or (window_end <= ts and window_end > ts - interval 12 hours)")
-    best = j.groupBy("msg_id", "entity", "ts").agg(F.max(F.struct("window_end", "growth_rate")).alias("s"))
-    return m.join(best, ["msg_id", "entity", "ts"], "left").select("msg_id", "entity", "ts", F.col("s.window_end").alias("window_end"), F.round("s.growth_rate", 6).alias("growth_rate"))
+    """For each mention its entity's newest 24 h snapshot of the twelve hours before it, if any: looked up once for each entity and quarter."""
+    m = mentions(spark, d).select("msg_id", "entity", "ts").distinct().withColumn("q", align_to_quarter(F.col("ts")))
+    h = boards.history(spark, d).where("window_type = '24h'").select("entity", F.col("window_end").alias("q"), F.struct("window_end", "growth_rate").alias("s"))
+    asked = m.select("entity", "q").distinct().withColumn("asked", F.lit(True))
+    past = Window.partitionBy("entity").orderBy("q").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = asked.unionByName(h, allowMissingColumns=True).withColumn("s", F.last("s", ignorenulls=True).over(past)).where("asked").select("entity", "q", "s")
+    found = m.join(last, ["entity", "q"], "left").withColumn("s", F.when(F.col("s.window_end") > F.col("ts") - F.expr("interval 12 hours"), F.col("s")))
+    return found.select("msg_id", "entity", "ts", F.col("s.window_end").alias("window_end"), F.round("s.growth_rate", 6).alias("growth_rate"))
 
 
 register("asof_snapshot", asof_snapshot, boards.HISTORY + f""", m as (select distinct msg_id, entity, ts from entity_mentions where ts >= {_NOW} - interval 7 day and ts < {_NOW})

@@ -89,6 +89,28 @@ def test_history_equals_single_boards(spark):
         assert {tuple(x) for x in hist.where(F.col("window_end") == hot.at(at)).select("entity", "count_short", "rank").collect()} == {tuple(x) for x in one}
 
 
+def test_history_of_the_whole_table(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    first, last = dt.datetime(2020, 1, 5, 3, 50), dt.datetime(2020, 1, 16, 1, 10)
+    rows = [(i, "EARLY", "x", first + dt.timedelta(minutes=i)) for i in range(3)]
+    rows += [(10 + i, "SHORT", r, dt.datetime(2020, 1, 9, 2, 31 + i)) for i, r in enumerate("xyx")] + [(20, "LATE", "x", last)]
+    _mentions(spark, rows).write.parquet(f"{tmp_path}/entity_mentions.parquet")
+    hist = entry.queries()["snapshot_history"](spark, str(tmp_path)).collect()
+    moments = lambda e, w: sorted(r["window_end"] for r in hist if r["entity"] == e and r["window_type"] == w)
+    quarters = lambda start, n: [start + dt.timedelta(minutes=15 * i) for i in range(n)]
+    assert {r["window_type"] for r in hist} == {"1h", "3h", "6h", "24h"}
+    assert moments("EARLY", "3h") == quarters(dt.datetime(2020, 1, 5, 4), 12) and moments("LATE", "24h") == quarters(dt.datetime(2020, 1, 16, 1, 15), 1)
+    assert moments("SHORT", "1h") == quarters(dt.datetime(2020, 1, 9, 2, 45), 4)
+    assert {(r["count_short"], r["cross_source"]) for r in hist if r["entity"] == "SHORT"} == {(3, 2)}
+    found = {(r["msg_id"], r["window_end"]) for r in entry.queries()["asof_snapshot"](spark, str(tmp_path)).collect()}
+    assert found == {(0, None), (1, None), (2, None), (10, None), (11, None), (12, None), (20, None)}
+    again = [*rows, (30, "SHORT", "x", dt.datetime(2020, 1, 9, 20, 7))]
+    _mentions(spark, again).write.parquet(f"{tmp_path}/again/entity_mentions.parquet")
+    found = {r["msg_id"]: r["window_end"] for r in entry.queries()["asof_snapshot"](spark, f"{tmp_path}/again").collect()}
+    assert found[30] == dt.datetime(2020, 1, 9, 20, 0) and len(found) == len(again)
+
+
 def test_pmi(spark):
     p = lambda *x: spark.range(1).select(co.pmi(*map(F.lit, x))).first()[0]
     assert round(p(12, 25, 18, 200), 3) == 1.674
