@@ -108,7 +108,7 @@ _DOTS = frozenset(".。…．｡")
 _RUN = re.compile("[.!?。！？…．।॥؟｡]+")
 _LINK = re.compile(r"(?:https?://|www\.)[^\s<>\"“”«»「」()（），。！？、]*[^\s<>\"“”«»「」()（），。！？、.,;:!?…']")
 _PARAGRAPH = re.compile(r"\n[^\S\n]*\n\s*")
-_LEAD = re.compile(r"(?m)^[^\S\n]*(?:(?P<stamp>\[\d{1,2}:\d{2}(?::\d{2})?\](?:[^\S\n]*@?[^\s:：]+[:：])?)|(?P<item>\d{1,2}[.)](?=\s)|[-–•‣◦·*](?=[^\S\n]))|(?P<sign>[#>]+(?=[^\S\n])|(?:Q|A|问|答|質|問)[:：]))")
+_LEAD = re.compile(r"(?m)^[^\S\n]*(?:(?P<stamp>\[\d{1,2}:\d{2}(?::\d{2})?\](?:[^\S\n]*@?[^\s:：]+[:：])?)|(?P<item>\d+[.)](?=\s)|[-–•‣◦·*](?=[^\S\n]))|(?P<sign>[#>]+(?=[^\S\n])|(?:Q|A|问|答|質|問)[:：]))")
 _TAIL = regex.compile(r"(?:[^\S\n]*(?:<\|\w+\|>|[\p{So}\p{Sk}\p{Cs}‍️\U0001f3fb-\U0001f3ff]+))+(?=[^\S\n]*(?:\n|\Z))")
 _THAI_GAP = re.compile(r"(?<=[\u0e01-\u0e3a\u0e40-\u0e4e])[^\S\n]+(?=[\u0e01-\u0e3a\u0e40-\u0e4e])")
 _SPAN = re.compile(

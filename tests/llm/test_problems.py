@@ -311,6 +311,12 @@ def test_sentences(text, want):
     assert _cut(text) == want
 
 
+def test_list_markers_of_any_length():
+    items = [f"{k}. item {k}" for k in (99, 100, 101)]
+    assert _cut("\n".join(items)) == items
+    assert _cut("Lead.\n\n3738. Because it moved. Next\n3739. more") == ["Lead.", "3738. Because it moved.", "Next", "3739. more"]
+
+
 def test_transducer_chunks_do_not_matter():
     r = np.random.default_rng(3)
     for n in (1, 7, 5000):
