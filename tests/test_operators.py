@@ -186,6 +186,16 @@ def test_normalizing(spark):
         normalize.posts_of(raw, "else")
 
 
+def test_batches_hold_only_unseen_posts(spark, small):
+    import __spark_entry__ as entry
+    from pulsemill.sources.tables import table
+
+    seen = {(r["raw_source"], r["raw_id"]) for r in table(spark, small, "normalized_messages").select("raw_source", "raw_id").collect()}
+    got = {(r["raw_source"], r["raw_id"]) for r in entry.queries()["scan_fifo_batch"](spark, small).collect()}
+    posts = {(s, r["id"]) for s, t in (("twitter", "twitter_posts"), ("binance_square", "binance_square_posts"), ("discord", "discord_messages")) for r in table(spark, small, t).select("id").collect()}
+    assert got == posts - seen and 0 < len(got) <= 500
+
+
 def test_fingerprints():
     a = "the protocol announced a new partnership with several globe wide banks and funds to settle trades on chain this quarter"
     b = a.replace("globe", "world")
