@@ -183,7 +183,7 @@ def mention_rows(messages: DataFrame, vocab: Vocabulary, kols: DataFrame | None
     rows = messages.where("not is_duplicate and text is not null").select("id", "raw_source", "ts", "engagement", "author_weight", F.lower(F.coalesce("author", F.lit(""))).alias("who"), text.alias("text"))
     rows = spread(rows).withColumn("entities", entities(F.col("text"), vocab)).withColumn("e", F.explode("entities"))
     if kols is not None:
-        rows = rows.join(F.broadcast(kols.select(F.col("name").alias("who"), F.lit(True).alias("kol")).distinct().limit(MOST_NAMES)), "who", "left")
+        rows = rows.join(kols.select(F.col("name").alias("who"), F.lit(True).alias("kol")).distinct(), "who", "left")
     else:
         rows = rows.withColumn("kol", F.lit(False))
     return rows.select(

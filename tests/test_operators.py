@@ -172,6 +172,13 @@ def test_entities(spark):
     assert df.select(ex.entities(F.col("text"), none).alias("e"), ex.reason(F.col("text"), none)).count() == 8
 
 
+def test_every_kol_of_a_long_list_counts(spark):
+    names = spark.range(ex.MOST_NAMES + 50).select("id", F.concat(F.lit("kol"), "id").alias("name"))
+    m = names.selectExpr("id", "'x' raw_source", "timestamp_ntz'2024-01-01' ts", "0 engagement", "1.0d author_weight", "upper(name) author", "'BTC up' text", "false is_duplicate")
+    got = ex.mention_rows(m, ex.Vocabulary((("btc", "BTC", "ticker"),)), names).groupBy("is_kol_mention").count().collect()
+    assert [tuple(r) for r in got] == [(True, ex.MOST_NAMES + 50)]
+
+
 def test_normalizing(spark):
     when = dt.datetime(2024, 1, 1)
     raw = spark.createDataFrame([(1, " \n\t　hi \x1f", "@a", None, when), (2, "   ", "@b", when, when), (3, None, "@c", when, when)], "id long, content string, author string, posted_at timestamp_ntz, created_at timestamp_ntz")
