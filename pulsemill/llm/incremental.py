@@ -135,7 +135,7 @@ def take_batch(index: AcceptedIndex, batch: DataFrame, texts: DataFrame, **how)
 
 
 def unprocessed_repeats(messages: DataFrame) -> DataFrame:
-    """(orig_id, dup_id): each message not yet processed that is alike to one with a smaller id, and the smallest such id."""
+    """(orig_id, dup_id): each message not yet processed that is alike to one with a smaller id, and the smallest such id; those that repeat nothing join the index."""
     index = AcceptedIndex(messages.sparkSession)
     index.append(fingerprints(messages.where("l1_processed_at is not null")))
-    return repeats(index, messages.where("l1_processed_at is null"), messages)[0]
+    return take_batch(index, messages.where("l1_processed_at is null"), messages)

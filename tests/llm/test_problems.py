@@ -133,6 +133,17 @@ def test_accepted_records_are_found_by_the_next_batch(spark):
     assert incremental.take_batch(index, frame([]), frame(rows)).count() == 0
 
 
+def test_unprocessed_records_join_the_index(spark, monkeypatch):
+    made, new = [], incremental.AcceptedIndex
+    monkeypatch.setattr(incremental, "AcceptedIndex", lambda s: made.append(new(s, 2)) or made[-1])
+    a, b = "a quick brown fox jumps over the lazy dog and runs away" * 2, "some other words make up this second text, which is long enough"
+    rows = [(1, a, "2024-01-01"), (2, a + "!", None), (3, b, None), (4, b, None)]
+    messages = spark.createDataFrame(rows, "id long, text string, at string").selectExpr("*", "cast(at as timestamp_ntz) l1_processed_at")
+    assert {tuple(x) for x in incremental.unprocessed_repeats(messages).collect()} == {(1, 2), (3, 4)}
+    assert {r["rep"] for r in made[0].signatures().collect()} == {1, 3}
+    assert {r["rep"] for r in spark.table(made[0].bands).collect()} == {1, 3}
+
+
 # 3: items that appear together
 
 BASKETS = "msg_id long, entity string, b string, i string"
