@@ -255,7 +255,7 @@ def symbols(text: str, base: np.ndarray) -> np.ndarray:
             paragraphs.append((lo, a))
         lo = b
     for lo, hi in paragraphs:
-        if hi - lo < 12 and not _visible(text[lo:hi]):
+        if not _visible(text[lo:hi]):
             part = out[lo:hi]
             part[(part == TEXT) | (part == TAIL)] = SPACE
             continue

@@ -328,6 +328,12 @@ def test_list_markers_of_any_length():
     assert _cut("Lead.\n\n3738. Because it moved. Next\n3739. more") == ["Lead.", "3738. Because it moved.", "Next", "3739. more"]
 
 
+def test_paragraphs_of_nothing_visible():
+    for part in ("\u200b" * 3, "\u200b" * 40, "\x01\u200b \u2060" * 20):
+        assert _cut(f"{part}\n\nOne.\n\n{part}") == ["One."] and _cut(part) == []
+    assert _cut("\u200b" * 40 + "x\n\ny") == ["\u200b" * 40 + "x", "y"]
+
+
 def test_transducer_chunks_do_not_matter():
     r = np.random.default_rng(3)
     for n in (1, 7, 5000):
