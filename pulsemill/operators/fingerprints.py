@@ -48,33 +48,53 @@ def hour_bucket(ts: str | Column) -> Column:
     return F.floor(F.unix_seconds(c.cast("timestamp")) / 3600)
 
 
+def _rows(prints: DataFrame, hours: int) -> DataFrame:
+    """(id, simhash, ts, bucket, block): prints with their hour and block of hours."""
+    rows = prints.where("id is not null and simhash is not null and ts is not null").select("id", "simhash", "ts", hour_bucket("ts").alias("bucket"))
+    return rows.withColumn("block", F.floor(F.col("bucket") / (hours + 1)))
+
+
+def near_prints(rows: DataFrame, radius: int) -> DataFrame:
+    """(simhash, block, prior_hash, prior_block): fingerprints within the radius in a block and in it or the one before; a fingerprint is one row of a block, however many prints have it."""
+    bands = radius + 1
+    width = 64 // bands
+    value = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("simhash", k * width).bitwiseAND(F.lit((1 << (width if k < bands - 1 else 64 - k * width)) - 1)).alias("value")) for k in range(bands)))
+    kinds = rows.select("simhash", "block").distinct().select("*", F.explode(value).alias("b")).select("simhash", "block", "b.band", "b.value")
+    own = kinds.select("*", F.explode(F.array("block", F.col("block") - 1)).alias("prior_block"))
+    prior = kinds.select(F.col("simhash").alias("prior_hash"), F.col("block").alias("prior_block"), "band", "value")
+    return own.join(prior, ["band", "value", "prior_block"]).where(hamming("simhash", "prior_hash") <= radius).select("simhash", "block", "prior_hash", "prior_block").distinct()
+
+
 def near_duplicates(prints: DataFrame, radius: int = 3, hours: int = 24) -> DataFrame:
     """(msg_id, prior_id, prior_bucket, distance): for each print those before it, in its horizon and within the radius.
 
     ``prints`` has (id, simhash, ts) and is taken in the order of ts, then id.  Fingerprints within
     ``radius`` bits agree on one of ``radius + 1`` bands at least, so an equi-join on (band, its
-    value, block of hours) finds all of them; each print is sent to the two blocks its horizon
-    meets.  Equal fingerprints of a block are one row on the prior side until the pairs are made.
+    value, block of hours) finds all of them; each is sent to the two blocks its horizon meets.
+    Equal fingerprints of a block are one row on both sides until the pairs are made, and each pair is
+    made once; a group of equal fingerprints still gives all its pairs, which are the result.
     """
-    bands = radius + 1
-    width = 64 // bands
-    rows = prints.where("id is not null and simhash is not null and ts is not null").select("id", "simhash", "ts", hour_bucket("ts").alias("bucket"))
-    value = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("simhash", k * width).bitwiseAND(F.lit((1 << (width if k < bands - 1 else 64 - k * width)) - 1)).alias("value")) for k in range(bands)))
-    block = F.floor(F.col("bucket") / (hours + 1))
-    own = rows.select("*", F.explode(value).alias("b")).select("id", "simhash", "ts", "bucket", "b.band", "b.value", F.explode(F.array(block, block - 1)).alias("block"))
-    prior = rows.select("*", F.explode(value).alias("b"), block.alias("block")).select(
-        F.col("id").alias("prior_id"), F.col("simhash").alias("prior_hash"), F.col("ts").alias("prior_ts"), F.col("bucket").alias("prior_bucket"), "b.band", "b.value", "block"
-    )
-    pairs = own.join(prior, ["band", "value", "block"]).where(
+    rows = _rows(prints, hours)
+    prior = rows.select(F.col("id").alias("prior_id"), F.col("simhash").alias("prior_hash"), F.col("ts").alias("prior_ts"), F.col("bucket").alias("prior_bucket"), F.col("block").alias("prior_block"))
+    pairs = rows.join(near_prints(rows, radius), ["simhash", "block"]).join(prior, ["prior_hash", "prior_block"]).where(
         ((F.col("prior_ts") < F.col("ts")) | ((F.col("prior_ts") == F.col("ts")) & (F.col("prior_id") < F.col("id"))))
         & (F.col("prior_bucket") >= F.col("bucket") - hours)
         & (F.col("prior_bucket") <= F.col("bucket"))
-        & (hamming("simhash", "prior_hash") <= radius)
     )
     return pairs.select(F.col("id").alias("msg_id"), "prior_id", "prior_ts", "prior_bucket", hamming("simhash", "prior_hash").cast("int").alias("distance")).distinct()
 
 
 def duplicate_of(prints: DataFrame, radius: int = 3, hours: int = 24) -> DataFrame:
-    """(msg_id, dup_of): the first near duplicate in the oldest hour of the horizon that has one."""
-    found = near_duplicates(prints, radius, hours)
-    return found.groupBy("msg_id").agg(F.min(F.struct("prior_bucket", "prior_ts", "prior_id")).alias("m")).select("msg_id", F.col("m.prior_id").alias("dup_of"))
+    """(msg_id, dup_of): the first near duplicate in the oldest hour of the horizon that has one.
+
+    That is the first print by (ts, id) of the horizon's near ones, if it is before the message, so
+    the first of each fingerprint and hour is enough and no pairs of messages are made.
+    """
+    rows = _rows(prints, hours)
+    hourly = rows.groupBy("simhash", "block", "bucket").agg(F.min(F.struct("ts", "id")).alias("first"))
+    prior = hourly.select(F.col("simhash").alias("prior_hash"), F.col("block").alias("prior_block"), F.col("bucket").alias("prior_bucket"), F.col("first").alias("prior"))
+    met = hourly.drop("first").join(near_prints(rows, radius), ["simhash", "block"]).join(prior, ["prior_hash", "prior_block"])
+    met = met.where((F.col("prior_bucket") >= F.col("bucket") - hours) & (F.col("prior_bucket") <= F.col("bucket")))
+    best = met.groupBy("simhash", "bucket").agg(F.min("prior").alias("m"))
+    found = rows.join(best, ["simhash", "bucket"]).where((F.col("m.ts") < F.col("ts")) | ((F.col("m.ts") == F.col("ts")) & (F.col("m.id") < F.col("id"))))
+    return found.groupBy(F.col("id").alias("msg_id")).agg(F.min("m").alias("m")).select("msg_id", F.col("m.id").alias("dup_of"))

@@ -243,6 +243,14 @@ def test_near_duplicates_equal_brute_force(spark):
     assert {tuple(r) for r in fp.duplicate_of(df).collect()} == {(i, k[2]) for i, k in first.items()}
 
 
+def test_equal_fingerprints_are_one_row_of_a_block(spark):
+    start = dt.datetime(2024, 1, 1)
+    rows = [(i, 7, start + dt.timedelta(seconds=i // 2)) for i in range(3000)] + [(3000, 6, start + dt.timedelta(hours=20)), (3001, 7, start + dt.timedelta(hours=30))]
+    prints = spark.createDataFrame(rows, "id long, simhash long, ts timestamp_ntz")
+    assert fp.near_prints(fp._rows(prints, 24), 3).count() <= 9
+    assert {tuple(r) for r in fp.duplicate_of(prints).collect()} == {(i, 0) for i in range(1, 3001)} | {(3001, 3000)}
+
+
 def test_writes_by_key(spark):
     t = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k int, x string, v int")
     n = spark.createDataFrame([(2, "z", 9), (3, "d", 4), (3, "c", 3), (None, "n", 0)], "k int, x string, v int")
