@@ -35,7 +35,7 @@ def decide(last: tuple | None, at: datetime.datetime, growth: float, cross: int,
         return ESCALATED
     if cross > last[2]:
         return WIDER
-    if c.step > 0 and growth >= last[1] * (1 + c.step):
+    if c.step > 0 and last[1] > 0 and growth >= last[1] * (1 + c.step):
         return GROWN
     return None if elapsed < c.quiet else AGAIN
 
@@ -47,7 +47,7 @@ def decided(last_at: Column, last_growth: Column, last_cross: Column, at: Column
     out = F.when(last_at.isNull(), FIRST).when(elapsed >= c.heartbeat.total_seconds(), HEARTBEAT)
     out = out.when((last_growth > 0) & (growth >= last_growth * c.escalation), ESCALATED).when(cross > last_cross, WIDER)
     if c.step > 0:
-        out = out.when(growth >= last_growth * (1 + c.step), GROWN)
+        out = out.when((last_growth > 0) & (growth >= last_growth * (1 + c.step)), GROWN)
     return out.when(elapsed >= c.quiet.total_seconds(), AGAIN)
 
 

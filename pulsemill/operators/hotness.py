@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import tasks
+
 # The sliding windows, in hours.
 WINDOWS = {"15min": 0.25, "1h": 1.0, "3h": 3.0, "6h": 6.0, "24h": 24.0, "7d": 168.0}
 
@@ -152,80 +154,93 @@ def hotness_board(mentions: DataFrame, vocab: DataFrame | None, as_of: datetime.
     )
 
 
+def _when(moment: datetime.datetime) -> str:
+    return f"timestamp_ntz '{moment.isoformat(sep=' ')}'"
+
+
 def hotness_boards(mentions: DataFrame, vocab: DataFrame, as_of: datetime.datetime, boards: tuple[Board, ...]) -> DataFrame:
-    """``hotness_board`` of several windows, from one pass over the mentions and one ranking."""
-    end, ts = quarter_of(as_of), F.col("ts")
-    figures, gates, reach = [], [], as_of
+    """``hotness_board`` of several windows, from one pass over the mentions and one ranking.
+
+    Mentions are counted by entity and source, then by entity, so the distinct sources need no
+    sets; the least baselines are asked of a second, narrow pass over the times alone.
+    """
+    end = quarter_of(as_of)
+    first, second, gates, each, reach = [], [], [], [], as_of
     for i, b in enumerate(boards):
-        start, base = end - datetime.timedelta(hours=b.hours), end - datetime.timedelta(days=b.baseline_days)
-        inside = (ts >= at(start)) & (ts < at(end))
-        reach = min(reach, base, as_of - datetime.timedelta(days=b.baseline_days))
-        figures += [
-            F.count_if(ts >= _back(as_of, b.hours)).alias(f"short_{i}"),
-            F.count_if((ts >= at(base)) & (ts < at(start))).alias(f"base_{i}"),
-            F.size(F.collect_set(F.when(inside, F.col("raw_source")))).cast("long").alias(f"cross_{i}"),  # a set of sources, of which there are few
-            F.coalesce(F.sum(F.when(inside, F.col("engagement"))), F.lit(0)).alias(f"sum_{i}"),
-            F.count_if(ts >= _back(as_of, 24 * b.baseline_days)).alias(f"all_{i}"),
-        ]
-        gates.append(F.sum(f"all_{i}").alias(f"g_{i}"))
-    per = known(mentions, as_of).where(ts >= at(reach)).groupBy("entity").agg(*figures)
-    gate = per.agg(F.struct(*gates).alias("g")).scalar()
-    each = F.array(
-        *(
-            F.struct(
-                F.lit(b.window).alias("window_type"), F.lit(b.top_k).alias("top_k"), F.col(f"short_{i}").alias("short_count"), F.col(f"base_{i}").alias("baseline_total"), F.col(f"cross_{i}").alias("cross_source"),
-                F.col(f"sum_{i}").alias("engagement_sum"), (F.col(f"base_{i}") / (b.baseline_days * 24 - b.hours)).alias("count_baseline"), F.lit(float(b.smoothing)).alias("smoothing"), F.lit(b.cross_weight).alias("weight"),
-                ((F.col(f"base_{i}") == 0) & (F.col(f"short_{i}") >= b.new_entity_count)).alias("is_new_entity"),
-                ((F.col(f"short_{i}") > 0) & (gate[f"g_{i}"] >= b.min_baseline) & ~F.upper("entity").isin([x.upper() for x in b.exclude] or [""])).alias("ok"),
-            )
-            for i, b in enumerate(boards)
+        short, start, base, whole = as_of - datetime.timedelta(hours=b.hours), end - datetime.timedelta(hours=b.hours), end - datetime.timedelta(days=b.baseline_days), as_of - datetime.timedelta(days=b.baseline_days)
+        inside = f"ts >= {_when(start)} and ts < {_when(end)}"
+        reach = min(reach, base, short)
+        first += [
+            f"count_if(ts >= {_when(short)}) as short_{i}", f"count_if(ts >= {_when(base)} and ts < {_when(start)}) as base_{i}",
+            f"count_if({inside} and raw_source is not null) as in_{i}", f"sum(case when {inside} then engagement end) as sum_{i}",
+        ]
+        second += [f"sum(short_{i}) as short_{i}", f"sum(base_{i}) as base_{i}", f"count_if(in_{i} > 0) as cross_{i}", f"coalesce(sum(sum_{i}), 0) as sum_{i}"]
+        gates.append(f"count_if(ts >= {_when(whole)}) >= {b.min_baseline} as g_{i}")
+        each.append(
+            f"named_struct('window_type', '{b.window}', 'top_k', {b.top_k}, 'short_count', short_{i}, 'baseline_total', base_{i}, 'cross_source', cross_{i}, 'engagement_sum', sum_{i}, "
+            f"'count_baseline', base_{i} / {b.baseline_days * 24 - b.hours}d, 'smoothing', {float(b.smoothing)}d, 'weight', {float(b.cross_weight)}d, 'is_new_entity', base_{i} = 0 and short_{i} >= {b.new_entity_count}, 'board', {i})"
         )
-    )
-    rows = per.select("entity", F.explode(each).alias("b")).select("entity", "b.*").where("ok")
-    rows = rows.withColumn("growth_rate", F.col("short_count") / F.greatest("count_baseline", "smoothing"))
-    rows = rows.withColumn("final_score", F.col("growth_rate") * (1 + F.col("weight") * (F.col("cross_source") - 1)))
-    order = Window.partitionBy("window_type").orderBy(F.desc("final_score"), F.desc("short_count"), "entity")
-    top = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(b.top_k for b in boards)).where(F.col("rank") <= F.col("top_k"))
+    rows = known(mentions, as_of)
+    aggs = lambda parts: [F.expr(x) for x in parts]
+    open_ = rows.where(F.expr(f"ts >= {_when(min(as_of - datetime.timedelta(days=b.baseline_days) for b in boards))}")).agg(F.array(*(F.expr(g.rsplit(" as ", 1)[0]) for g in gates)).alias("g"))
+    per = rows.where(F.expr(f"ts >= {_when(reach)}")).groupBy("entity", "raw_source").agg(*aggs(first)).groupBy("entity").agg(*aggs(second))
+    found = per.select("entity", F.expr(f"inline(array({', '.join(each)}))")).where("short_count > 0").where(F.element_at(open_.scalar(), F.col("board") + 1))
+    for i, b in enumerate(boards):
+        if b.exclude:
+            found = found.where((F.col("board") != i) | ~F.upper("entity").isin([x.upper() for x in b.exclude]))
+    found = found.selectExpr("*", "short_count / greatest(count_baseline, smoothing) as growth_rate").selectExpr("*", "growth_rate * (1 + weight * (cross_source - 1)) as final_score")
+    top = found.selectExpr("*", "row_number() over (partition by board order by final_score desc, short_count desc, entity) as rank").where(F.col("rank") <= max(b.top_k for b in boards)).where("rank <= top_k")
     kinds = vocab.groupBy(F.col("name").alias("entity")).agg(F.min_by("entity_type", "ord").alias("entity_type"))
-    top = top.join(kinds, "entity", "left").withColumn("entity_type", F.coalesce("entity_type", F.lit("ticker")))
-    return top.select(
-        at(end).alias("window_end"), "window_type", "entity", "entity_type", F.col("short_count").alias("count_short"), "count_baseline", "growth_rate",
+    return top.join(kinds, "entity", "left").selectExpr(
+        f"{_when(end)} as window_end", "window_type", "entity", "coalesce(entity_type, 'ticker') as entity_type", "short_count as count_short", "count_baseline", "growth_rate",
         "cross_source", "engagement_sum", "is_new_entity", "final_score", "rank",
     )
 
 
 def snapshot_history(mentions: DataFrame, first: datetime.datetime, last: datetime.datetime, boards: tuple[Board, ...], step_hours: float) -> DataFrame:
-    """Boards at every ``step_hours`` (whole quarters) from ``first`` to ``last`` (moments on a quarter): the same figures, all moments in one pass.
+    """Boards at every ``step_hours`` (whole quarters) from ``first`` to ``last`` (moments on a quarter): the same figures, all moments and boards in one pass.
 
-    Mentions are first brought to (entity, source, quarter).  Each quarter is handed only to the moments
-    whose short window it is in; the baseline is the difference of two running totals of the entity, so
-    neither grows with the baseline's length, and an entity has no more rows than there are quarters.
+    Mentions are first brought to (entity, source, quarter).  Each such cell is handed once to the
+    moments that the longest short window reaches from it, whatever the number of boards; equal
+    moments of an entity and source become one row in the task that made them.  The baselines are
+    differences of the entity's running totals, so neither grows with their length, an entity has no
+    more rows than there are quarters and sources, and none of this needs a second shuffle.
     """
-    quarter = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / 900)
-    lo, hi, step = quarter(at(first)), quarter(at(last)), round(step_hours * 4)
+    lo, hi = (int(x.replace(tzinfo=datetime.timezone.utc).timestamp()) // 900 for x in (first, last))
+    step = round(step_hours * 4)
     if step < 1 or step != step_hours * 4:
         raise ValueError("moments lie on quarters of an hour")
-    cells = mentions.where(F.col("entity").isNotNull() & F.col("ts").isNotNull()).groupBy("entity", "raw_source", quarter(F.col("ts")).alias("q")).agg(F.count("*").alias("n"), F.sum("engagement").alias("e"))
-    counts = cells.groupBy("entity", F.col("q").alias("m")).agg(F.sum("n").alias("n"))
-    parts = []
-    for b in boards:
-        short, whole = round(b.hours * 4), b.baseline_days * 96
-        start = lo + F.ceil((F.greatest(F.col("q") + 1, lo) - lo) / step) * step
-        ends = cells.select("*", start.alias("s"), F.least(hi, F.col("q") + short).alias("t")).where("s <= t")
-        ends = ends.select("entity", "raw_source", "n", "e", F.explode(F.sequence("s", "t", F.lit(step).cast("long"))).alias("m"))
-        g = ends.groupBy("entity", "m").agg(
-            F.sum("n").alias("short_count"),
-            F.count_distinct("raw_source").alias("cross_source"),
-            F.coalesce(F.sum("e"), F.lit(0)).alias("engagement_sum"),
-        )
-        by_time = Window.partitionBy("entity").orderBy("m")
-        until = lambda back, w=by_time: F.coalesce(F.sum("n").over(w.rangeBetween(Window.unboundedPreceding, -back)), F.lit(0))
-        g = g.unionByName(counts, allowMissingColumns=True).withColumn("baseline_total", until(short + 1) - until(whole + 1))
-        g = scored(g.where("short_count > 0"), b).withColumn("window_end", F.timestamp_seconds(F.col("m") * 900).cast("timestamp_ntz"))
-        order = Window.partitionBy("window_end").orderBy(F.desc("final_score"), F.desc("short_count"), "entity")
-        g = g.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= b.top_k).withColumn("window_type", F.lit(b.window))
-        parts.append(g)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("window_end", "window_type", "entity", F.col("short_count").alias("count_short"), "count_baseline", "growth_rate", "cross_source", "engagement_sum", "is_new_entity", "final_score", "rank")
+    reach = max(round(b.hours * 4) for b in boards)
+    cells = mentions.where("entity is not null and ts is not null").selectExpr("entity", "raw_source", "floor(unix_seconds(cast(ts as timestamp)) / 900) as m", "engagement")
+    cells = cells.groupBy("entity", "raw_source", "m").agg(F.count("*").alias("n"), F.coalesce(F.sum("engagement"), F.lit(0)).alias("e"))
+    # a cell at its own quarter (d = 0), and at every moment it may count for, d quarters later
+    start = f"{lo} + ceil((greatest(m + 1, {lo}) - {lo}) / {step}d) * {step}"
+    ends = f"case when {start} <= least({hi}, m + {reach}) then sequence({start}, cast(least({hi}, m + {reach}) as bigint), bigint({step})) else array() end"
+    spread = cells.repartition(tasks(mentions.sparkSession), "entity").selectExpr("entity", "raw_source", "m as q", "n", "e", f"explode(concat(array(m), {ends})) as m")
+    shorts = [round(b.hours * 4) for b in boards]
+    kept = dict.fromkeys(shorts)
+    inside = lambda k: f"m - q between 1 and {k}"
+    by_source = spread.groupBy("entity", "raw_source", "m").agg(
+        F.expr("sum(case when m = q then n else 0 end) as own"), F.expr("bool_or(m > q) as asked"), *(F.expr(f"sum(case when {inside(k)} then {x} else 0 end) as {x}_{k}") for k in kept for x in "ne")
+    )
+    per = by_source.groupBy("entity", "m").agg(
+        F.sum("own").alias("own"), F.bool_or("asked").alias("asked"),
+        *(F.expr(x) for k in kept for x in (f"sum(n_{k}) as short_{k}", f"count_if(n_{k} > 0 and raw_source is not null) as cross_{k}", f"sum(e_{k}) as sum_{k}")),
+    )
+    totals = sorted({k + 1 for b in boards for k in (round(b.hours * 4), b.baseline_days * 96)})
+    per = per.selectExpr("*", *(f"coalesce(sum(own) over (partition by entity order by m range between unbounded preceding and {k} preceding), 0) as t_{k}" for k in totals)).where("asked")
+    each = [
+        f"named_struct('window_type', '{b.window}', 'top_k', {b.top_k}, 'short_count', short_{k}, 'cross_source', cross_{k}, 'engagement_sum', sum_{k}, 'baseline_total', t_{k + 1} - t_{b.baseline_days * 96 + 1}, "
+        f"'hours', {b.baseline_days * 24 - b.hours}d, 'smoothing', {float(b.smoothing)}d, 'weight', {float(b.cross_weight)}d, 'new_count', {b.new_entity_count}, 'board', {i})"
+        for i, (b, k) in enumerate(zip(boards, shorts))
+    ]
+    g = per.select("entity", "m", F.expr(f"inline(array({', '.join(each)}))")).where("short_count > 0")
+    for i, b in enumerate(boards):
+        if b.exclude:
+            g = g.where((F.col("board") != i) | ~F.upper("entity").isin([x.upper() for x in b.exclude]))
+    g = g.selectExpr("*", "baseline_total / hours as count_baseline").selectExpr("*", "short_count / greatest(count_baseline, smoothing) as growth_rate").selectExpr("*", "growth_rate * (1 + weight * (cross_source - 1)) as final_score")
+    g = g.selectExpr("*", "row_number() over (partition by m, board order by final_score desc, short_count desc, entity) as rank").where(F.col("rank") <= max(b.top_k for b in boards)).where("rank <= top_k")
+    return g.selectExpr(
+        "cast(timestamp_seconds(m * 900) as timestamp_ntz) as window_end", "window_type", "entity", "short_count as count_short", "count_baseline", "growth_rate", "cross_source", "engagement_sum",
+        "baseline_total = 0 and short_count >= new_count as is_new_entity", "final_score", "rank",
+    )

@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 
 from ..operators import cooldown
 from ..operators import hotness as h
-from ..sources.tables import table
+from ..session import cut
+from ..sources.tables import state_of, table
 from .registry import register
 
 AS_OF = datetime.datetime(2020, 4, 20, 18, 7)
 END = h.quarter_of(AS_OF)
-#: moments and boards of the history's SQL: six-hourly over ten days. The query has all of them, see ``history``.
-FIRST, LAST, STEP = datetime.datetime(2020, 4, 10), datetime.datetime(2020, 4, 20), 6
-HISTORY_BOARDS = (h.BOARDS["1h"], h.BOARDS["6h"], h.BOARDS["24h"])
+#: the moment that the point lookups ask for
+MOMENT = datetime.datetime(2020, 4, 20)
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,35 +129,47 @@ register(
 
 
 _QUARTER = datetime.timedelta(minutes=15)
+_held: dict[tuple, DataFrame] = {}
 
 
 def span(rows: DataFrame) -> tuple[datetime.datetime, datetime.datetime]:
     """The ends of the quarters that the table's first and last mention are in."""
     first, last = rows.where("entity is not null").agg(F.min("ts"), F.max("ts")).first()
-    return (h.quarter_of(first) + _QUARTER, h.quarter_of(last) + _QUARTER) if first else (FIRST, FIRST)
+    return (h.quarter_of(first) + _QUARTER, h.quarter_of(last) + _QUARTER) if first else (MOMENT, MOMENT)
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All boards at every quarter of the table's time."""
-    rows = mentions(spark, sf_dir)
-    return h.snapshot_history(rows, *span(rows), tuple(h.BOARDS.values()), 0.25)
+    """All boards at every quarter of the table's time, written once for the table as it is and then read."""
+    key = (spark.sparkContext.applicationId, sf_dir, state_of(spark, f"{sf_dir}/entity_mentions.parquet"))
+    if key not in _held:
+        rows = mentions(spark, sf_dir)
+        _held[key] = cut(h.snapshot_history(rows, *span(rows), tuple(h.BOARDS.values()), 0.25), "history")
+    return _held[key]
 
 
 def _history_part(b: h.Board) -> str:
-    w = int(b.hours)
+    """One board at every quarter: mentions handed to each quarter whose window they are in, the baseline as running counts looked up at the window's two ends."""
+    w, k = int(b.hours), int(b.hours * 4)
     return f"""
-select window_end, '{b.window}' window_type, entity, short_count count_short, count_baseline, growth_rate, cross_source, engagement_sum, is_new_entity, final_score,
- row_number() over (partition by window_end order by final_score desc, short_count desc, entity)::int rank from (
+select we window_end, '{b.window}' window_type, entity, short_count count_short, count_baseline, growth_rate, cross_source, engagement_sum, is_new_entity, final_score,
+ row_number() over (partition by we order by final_score desc, short_count desc, entity)::int rank from (
  select *, growth_rate * (1 + 0.3::double * (cross_source - 1)) final_score, baseline_total = 0 and short_count >= 5 is_new_entity from (
   select *, short_count / greatest(count_baseline, {b.smoothing}::double) growth_rate from (
    select *, baseline_total / {b.baseline_days * 24 - w}::double count_baseline from (
-    select we window_end, entity, count(*) filter (where ts >= we - interval {w} hour) short_count, count(*) filter (where ts < we - interval {w} hour) baseline_total,
-     count(distinct raw_source) filter (where ts >= we - interval {w} hour) cross_source, coalesce(sum(engagement) filter (where ts >= we - interval {w} hour), 0)::bigint engagement_sum
-    from ends join entity_mentions on ts < we and ts >= we - interval {b.baseline_days} day where entity is not null group by 1, 2) where short_count > 0)))
+    select s.*, coalesce(x.c, 0) - coalesce(y.c, 0) baseline_total from (
+     select entity, q + interval 15 minute * i we, count(*) short_count, count(distinct raw_source) cross_source, coalesce(sum(engagement), 0)::bigint engagement_sum
+     from m, range(1, {k + 1}) r(i) where q + interval 15 minute * i <= (select max(q) + interval 15 minute from m) group by 1, 2) s
+    asof left join c x on x.entity = s.entity and x.q < s.we - interval {w} hour
+    asof left join c y on y.entity = s.entity and y.q < s.we - interval {b.baseline_days} day))))
 qualify rank <= {b.top_k}"""
 
 
-HISTORY = f"with ends as (select unnest(generate_series({_ts(FIRST)}, {_ts(LAST)}, interval {STEP} hour)) we), hist as (" + " union all ".join(f"(select * from ({_history_part(b)}))" for b in HISTORY_BOARDS) + ")\n"
+HISTORY = (
+    "with m as (select entity, raw_source, engagement, time_bucket(interval 15 minute, ts) q from entity_mentions where entity is not null and ts is not null),\n"
+    "c as (select entity, q, sum(count(*)) over (partition by entity order by q) c from m group by 1, 2), hist as ("
+    + " union all ".join(f"(select * from ({_history_part(b)}))" for b in h.BOARDS.values())
+    + ")\n"
+)
 
 register("snapshot_history", lambda spark, d: _rounded(history(spark, d)), HISTORY + "select window_end, window_type, entity, count_short, round(count_baseline, 6) count_baseline, round(growth_rate, 6) growth_rate, cross_source, engagement_sum, is_new_entity, round(final_score, 6) final_score, rank from hist")
 register("latest_window", lambda spark, d: history(spark, d).groupBy("window_type").agg(F.max("window_end").alias("window_end")), HISTORY + "select window_type, max(window_end) window_end from hist group by 1")
@@ -187,7 +199,7 @@ def resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.where(F.size("windows") == len(h.BOARDS))
 
 
-register("resonance", resonance, HISTORY + "select window_end, entity, list_sort(list(distinct window_type)) windows, round(max(growth_rate), 6) peak from hist group by 1, 2 having count(distinct window_type) = 3")
+register("resonance", resonance, HISTORY + "select window_end, entity, list_sort(list(distinct window_type)) windows, round(max(growth_rate), 6) peak from hist group by 1, 2 having count(distinct window_type) = 4")
 register(
     "growth_percentiles",
     lambda spark, d: history(spark, d).groupBy("window_type").agg(*(F.round(F.percentile("growth_rate", p / 100), 6).alias(f"p{p}") for p in (50, 75, 90, 95, 97, 99)), F.round(F.max("growth_rate"), 6).alias("top"), F.count("*").alias("n")),
@@ -209,14 +221,19 @@ register(
     lambda spark, d: history(spark, d).where("growth_rate >= 0.5").groupBy(F.to_date("window_end").alias("day"), "window_type").agg(F.count("*").alias("hits")),
     HISTORY + "select window_end::date as day, window_type, count(*) hits from hist where growth_rate >= 0.5 group by 1, 2",
 )
+def _mean(c: str):
+    """Average over decimals, which no order of the rows can change."""
+    return F.sum(F.col(c).cast("decimal(28,10)")).cast("double") / F.count("*")
+
+
 register(
     "persistence",
     lambda spark, d: _rounded(
-        history(spark, d).where(F.col("window_end") > h.at(span(mentions(spark, d))[1] - datetime.timedelta(days=1))).groupBy("entity").agg(F.count("*").alias("boards"), F.avg("rank").alias("avg_rank"), F.min("rank").alias("best_rank"), F.avg("growth_rate").alias("avg_growth"), F.avg("final_score").alias("avg_score"), F.bool_or("is_new_entity").alias("ever_new"))
+        history(spark, d).where(F.col("window_end") > h.at(span(mentions(spark, d))[1] - datetime.timedelta(days=1))).groupBy("entity").agg(F.count("*").alias("boards"), F.avg("rank").alias("avg_rank"), F.min("rank").alias("best_rank"), _mean("growth_rate").alias("avg_growth"), _mean("final_score").alias("avg_score"), F.bool_or("is_new_entity").alias("ever_new"))
         .orderBy(F.desc("boards"), F.asc("avg_rank"), "entity").limit(25)
     ),
-    HISTORY + f"""select entity, count(*) boards, round(avg(rank), 6) avg_rank, min(rank) best_rank, round(avg(growth_rate), 6) avg_growth, round(avg(final_score), 6) avg_score, bool_or(is_new_entity) ever_new
-from hist where window_end > {_ts(LAST)} - interval 1 day group by entity order by count(*) desc, avg(rank), entity limit 25""",
+    HISTORY + f"""select entity, count(*) boards, round(avg(rank), 6) avg_rank, min(rank) best_rank, round(sum(growth_rate::decimal(28, 10))::double / count(*), 6) avg_growth, round(sum(final_score::decimal(28, 10))::double / count(*), 6) avg_score, bool_or(is_new_entity) ever_new
+from hist where window_end > (select max(q) + interval 15 minute from m) - interval 1 day group by entity order by count(*) desc, avg(rank), entity limit 25""",
 )
 register(
     "recent_bursts",
@@ -232,11 +249,11 @@ register(
 
 # ---- lookups in the history ----
 
-_SINCE = LAST - datetime.timedelta(days=2)
+_SINCE = MOMENT - datetime.timedelta(days=2)
 register(
     "lookup_point",
-    lambda spark, d: _rounded(history(spark, d).where((F.col("entity") == "RICAKI") & (F.col("window_end") == h.at(LAST))).select("window_type", "rank", "growth_rate")),
-    HISTORY + f"select window_type, rank, round(growth_rate, 6) growth_rate from hist where entity = 'RICAKI' and window_end = {_ts(LAST)}",
+    lambda spark, d: _rounded(history(spark, d).where((F.col("entity") == "RICAKI") & (F.col("window_end") == h.at(MOMENT))).select("window_type", "rank", "growth_rate")),
+    HISTORY + f"select window_type, rank, round(growth_rate, 6) growth_rate from hist where entity = 'RICAKI' and window_end = {_ts(MOMENT)}",
 )
 register(
     "lookup_latest",
@@ -272,6 +289,17 @@ register(
     "cooldown_pairwise",
     cooldown_pairwise,
     HISTORY + """, s as (select entity as "key", window_end as "at", round(growth_rate, 6) growth, cross_source c, lag(window_end) over w l, lag(round(growth_rate, 6)) over w g, lag(cross_source) over w k from hist where window_type = '24h' window w as (partition by entity order by window_end))
-select "key", "at", case when l is null then 'first' when "at" - l >= interval 24 hour then 'heartbeat' when g > 0 and growth >= g * 1.5::double then 'escalated' when c > k then 'wider' when growth >= g * 1.2::double then 'grown' when "at" - l >= interval 8 hour then 'again' end why from s""",
+select "key", "at", case when l is null then 'first' when "at" - l >= interval 24 hour then 'heartbeat' when g > 0 and growth >= g * 1.5::double then 'escalated' when c > k then 'wider' when g > 0 and growth >= g * 1.2::double then 'grown' when "at" - l >= interval 8 hour then 'again' end why from s""",
+)
+_WHY = """case when t.l is null then 'first' when s."at" - t.l >= interval 24 hour then 'heartbeat' when t.g > 0 and s.growth >= t.g * 1.5::double then 'escalated' when s."cross" > t.k then 'wider'
+ when t.g > 0 and s.growth >= t.g * 1.2::double then 'grown' when s."at" - t.l >= interval 8 hour then 'again' end"""
+register(
+    "cooldown_fold",
+    lambda spark, d: cooldown.passed(signals(spark, d), _COOL),
+    HISTORY.replace("with ", "with recursive ", 1)
+    + f""", s as (select entity as "key", window_end as "at", round(growth_rate, 6) growth, cross_source as "cross", row_number() over (partition by entity order by window_end) i from hist where window_type = '24h'),
+t as (select "key", i, "at", growth, "cross", 'first' why, "at" l, growth g, "cross" k from s where i = 1
+ union all select s."key", s.i, s."at", s.growth, s."cross", {_WHY} why, case when {_WHY} is null then t.l else s."at" end, case when {_WHY} is null then t.g else s.growth end, case when {_WHY} is null then t.k else s."cross" end
+ from t join s on s."key" = t."key" and s.i = t.i + 1)
+select "key", "at", growth, "cross", why from t where why is not null""",
 )
-register("cooldown_fold", lambda spark, d: cooldown.passed(signals(spark, d), _COOL))

@@ -149,12 +149,12 @@ register(
 
 
 def threshold_pass(spark: SparkSession, d: str) -> DataFrame:
-    levels = spark.createDataFrame([("1h", 0.5), ("6h", 1.0), ("24h", 2.0)], "window_type string, least double")
+    levels = spark.createDataFrame([("1h", 0.5), ("3h", 1.0), ("6h", 1.0), ("24h", 2.0)], "window_type string, least double")
     h = boards.history(spark, d).join(F.broadcast(levels), "window_type")
     return h.groupBy("window_type", "least").agg(F.count_if(F.col("growth_rate") >= F.col("least")).alias("passed"), F.count("*").alias("n"))
 
 
-register("threshold_pass", threshold_pass, boards.HISTORY + "select window_type, least, count(*) filter (where growth_rate >= least) passed, count(*) n from hist join (values ('1h', 0.5::double), ('6h', 1.0), ('24h', 2.0)) v(window_type, least) using (window_type) group by 1, 2")
+register("threshold_pass", threshold_pass, boards.HISTORY + "select window_type, least, count(*) filter (where growth_rate >= least) passed, count(*) n from hist join (values ('1h', 0.5::double), ('3h', 1.0), ('6h', 1.0), ('24h', 2.0)) v(window_type, least) using (window_type) group by 1, 2")
 
 # ---- rendered lines ----
 
@@ -206,5 +206,6 @@ def asof_snapshot(spark: SparkSession, d: str) -> DataFrame:
     return found.select("msg_id", "entity", "ts", F.col("s.window_end").alias("window_end"), F.round("s.growth_rate", 6).alias("growth_rate"))
 
 
-register("asof_snapshot", asof_snapshot, boards.HISTORY + f""", m as (select distinct msg_id, entity, ts from entity_mentions where ts >= {_NOW} - interval 7 day and ts < {_NOW})
-select m.msg_id, m.entity, m.ts, max(h.window_end) window_end, round(arg_max(h.growth_rate, h.window_end), 6) growth_rate from m left join hist h on h.window_type = '24h' and h.entity = m.entity and h.window_end <= m.ts and h.window_end > m.ts - interval 12 hour group by 1, 2, 3""")
+register("asof_snapshot", asof_snapshot, boards.HISTORY + f""", u as (select distinct msg_id, entity, ts from entity_mentions)
+select u.msg_id, u.entity, u.ts, case when h.window_end > u.ts - interval 12 hour then h.window_end end window_end, case when h.window_end > u.ts - interval 12 hour then round(h.growth_rate, 6) end growth_rate
+from u asof left join (select * from hist where window_type = '24h') h on h.entity = u.entity and h.window_end <= u.ts""")

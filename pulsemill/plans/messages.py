@@ -45,7 +45,7 @@ for _s, _t in _RAW.items():
 register(
     "scan_fifo_batch",
     lambda spark, d: n.unseen(_posts(spark, d), messages(spark, d), batch=500).select("raw_source", "raw_id", "ts"),
-    f"select raw_source, raw_id, ts from ({_POSTS}) p where not exists (select 1 from normalized_messages m where m.id % 3 = 0 and m.raw_source = p.raw_source and m.raw_id = p.raw_id) order by created_at, raw_id limit 500",
+    f"select raw_source, raw_id, ts from ({_POSTS}) p where not exists (select 1 from normalized_messages m where m.raw_source = p.raw_source and m.raw_id = p.raw_id) order by created_at, raw_id limit 500",
 )
 register(
     "normalize_posts",
