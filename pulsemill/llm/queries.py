@@ -73,5 +73,5 @@ SQL: dict[str, str] = {
     "p3_scores": _PAIRS
     + """select p.a item_a, p.b item_b, p.c, u.k n_a, v.k n_b, t.n, round(p.c * t.n / (u.k::double * v.k), 6) lift,
 round(ln(p.c * t.n / (u.k::double * v.k)), 6) pmi, round(p.c / (u.k + v.k - p.c)::double, 6) jaccard
-from p join e u on u.entity = p.a join e v on v.entity = p.b, t where p.c >= 2""",
+from p join e u on u.entity = p.a join e v on v.entity = p.b, t""",
 }
