@@ -1,141 +1,238 @@
 """New batches against all that was accepted before, without reading the history again (problem 6).
 
-An ``AcceptedIndex`` is two written tables in the shared folder:
-
-* signatures: (h, rep, blob), one row for each distinct key form, rep its smallest id;
-* bands: (key, chunk, rep), bucketed and sorted by the band key.  A key's rows are numbered in
-  chunks of SHARD; those past the first chunk lie in a partition of their own (``hot``), so a
-  hot key is spread over tasks when it is probed.
-
-A probe shuffles the batch's keys to the index's buckets; the index itself is not moved.
+An ``AcceptedIndex`` is a folder that outlives the session that made it (``create``, ``open``):
+
+* forms: (h, rep, form), one row for each accepted key form by its hash, rep its smallest id;
+* bands: (key, h), the band keys of each form, no more than ``shard`` forms to a key;
+* hot: (key, chunk, h), what a key has beyond that, in chunks of ``shard`` that go on being
+  numbered over all appends; heat: (key, n), how many an append put there;
+* index.json: the layout, the number of the next append and of those that failed half-way.
+
+forms and bands lie in ``slots`` folders by the rest of their hash, and in each of them in files
+bucketed and sorted by it.  A probe reads the slots that the batch's keys fall in and shuffles the
+batch, never the index; the forms that share a band key with a record of the batch are fetched by
+hash in the same way, so the history's texts are not read at all.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, fresh_path, tasks
+from ..session import cut, fresh_path, read_text, spread, tasks, write_text
 from . import minhash as mh
-from .neardup import SHARD, candidate_links, classes, fingerprints, verified
+from .neardup import SHARD, candidate_links, verified
+from .textform import key_form
+
+_COLUMNS = {"forms": "h bigint, rep bigint, form string", "bands": "key bigint, h bigint", "hot": "key bigint, chunk int, h bigint", "heat": "key bigint, n bigint"}
+_BUCKETED = {"forms": "h", "bands": "key", "hot": "key, chunk"}
+_PACKED = "'compression' = 'zstd', 'parquet.writer.version' = 'PARQUET_2_0', 'parquet.enable.dictionary' = 'false'"  # sorted keys are stored as differences
 
 
-def _keys(signatures: DataFrame, sketch: bool) -> DataFrame:
-    """A row for each class and band: (key, rep), with the sketch (s0, s1) on request."""
+def printed(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(id, h, form) of every row with an id and a key form of LEAST_LETTERS or more; others are no cases."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                words, keys = mh.unpack(list(b["blob"]))
-                out = {"key": keys.ravel(), "rep": np.repeat(b["rep"].to_numpy(), mh.BANDS)}
-                if sketch:
-                    out |= {"s0": np.repeat(words[:, 0], mh.BANDS), "s1": np.repeat(words[:, 1], mh.BANDS)}
-                yield pd.DataFrame(out)
+            forms = [key_form(t) for t in b["text"]]
+            keep = [i for i, k in enumerate(forms) if len(k) >= mh.LEAST_LETTERS]
+            forms = [forms[i] for i in keep]
+            yield pd.DataFrame({"id": b["id"].to_numpy()[keep], "h": np.array([mh.text_hash(k) for k in forms], np.int64), "form": pd.Series(forms, dtype=object)})
 
-    return signatures.select("rep", "blob").mapInPandas(run, "key long, rep long" + ", s0 long, s1 long" * sketch)
+    rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    return spread(rows).mapInPandas(run, "id long, h long, form string")
 
 
-def _sketches(signatures: DataFrame) -> DataFrame:
-    """(rep, s0, s1)."""
+def _classes(prints: DataFrame) -> DataFrame:
+    """(h, rep, form): one row for each form, rep its smallest id."""
+    return prints.groupBy("h").agg(F.min(F.struct("id", "form")).alias("m")).select("h", F.col("m.id").alias("rep"), F.col("m.form").alias("form"))
+
+
+def _blobs(own: DataFrame, name: str, scheme: mh.Scheme) -> DataFrame:
+    """(name, blob) of (h, rep, form); ``name`` is h or rep."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                words, _ = mh.unpack(list(b["blob"]))
-                yield pd.DataFrame({"rep": b["rep"], "s0": words[:, 0], "s1": words[:, 1]})
+            yield pd.DataFrame({name: b[name], "blob": mh.blobs(b["form"].tolist(), scheme)})
 
-    return signatures.select("rep", "blob").mapInPandas(run, "rep long, s0 long, s1 long")
+    return own.select(name, "form").mapInPandas(run, f"{name} long, blob binary")
 
 
-class AcceptedIndex:
-    """Persisted band keys and signatures of every accepted record."""
+def _keys(own: DataFrame, scheme: mh.Scheme) -> DataFrame:
+    """(key, h): a row for each form and band."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, shard: int = SHARD) -> None:
-        self.spark, self.buckets, self.shard = spark, buckets or tasks(spark), shard
-        self.signature_path = fresh_path(spark, "signatures")
-        self.bands = f"bands_{uuid.uuid4().hex}"
-        self.band_path = fresh_path(spark, "bands")
-        self.empty = True
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                _, keys = mh.unpack(mh.blobs(b["form"].tolist(), scheme), scheme)
+                yield pd.DataFrame({"key": keys.ravel(), "h": np.repeat(b["h"].to_numpy(), scheme.bands)})
 
-    def signatures(self) -> DataFrame:
-        return self.spark.read.schema("h long, rep long, blob binary").parquet(self.signature_path)
+    return own.select("h", "form").mapInPandas(run, "key long, h long")
+
+
+class AcceptedIndex:
+    """Band keys and forms of every accepted record, in a folder of their own."""
+
+    def __init__(self, spark: SparkSession, path: str, state: dict) -> None:
+        self.spark, self.path, self.state = spark, path.rstrip("/"), state
+        self.scheme, self.shard = mh.Scheme(*state["scheme"]), state["shard"]
+        name = "accepted_" + hashlib.md5(self.path.encode()).hexdigest()[:16]
+        self.tables = {kind: f"{name}_{kind}" for kind in _COLUMNS}
+        for kind, table in self.tables.items():
+            if not spark.catalog.tableExists(table):
+                slot, packed = (", slot int", f"{_PACKED}") if kind in _BUCKETED else ("", "'compression' = 'zstd'")
+                layout = f"partitioned by (slot) clustered by ({_BUCKETED[kind]}) sorted by ({_BUCKETED[kind]}) into {state['buckets']} buckets" if slot else ""
+                spark.sql(f"create table {table} ({_COLUMNS[kind]}, batch int{slot}) using parquet options ({packed}) {layout} location '{self.path}/{kind}'")
+                if slot and state["next"]:
+                    spark.sql(f"msck repair table {table}")
+
+    @classmethod
+    def create(cls, spark: SparkSession, path: str, buckets: int | None = None, slots: int = 8, shard: int = SHARD, scheme: mh.Scheme = mh.USUAL) -> AcceptedIndex:
+        """An empty index in a new folder, which the cluster's executors must all reach."""
+        if read_text(spark, f"{path}/index.json") is not None:
+            raise ValueError(f"there is an index at {path}")
+        index = cls(spark, path, {"buckets": buckets or tasks(spark), "slots": slots, "shard": shard, "scheme": [scheme.bands, scheme.rows, scheme.radius], "next": 0, "failed": []})
+        index._save()
+        return index
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> AcceptedIndex:
+        """The index that some earlier session left at ``path``."""
+        text = read_text(spark, f"{path}/index.json")
+        if text is None:
+            raise ValueError(f"there is no index at {path}")
+        state = json.loads(text)
+        if state.pop("writing", False):  # an append that never ended: none of its rows count
+            state["failed"].append(state["next"] - 1)
+        return cls(spark, path, state)
+
+    def _save(self, **more) -> None:
+        write_text(self.spark, f"{self.path}/index.json", json.dumps(self.state | more))
+
+    @property
+    def empty(self) -> bool:
+        return self.state["next"] == len(self.state["failed"])
+
+    def read(self, kind: str, slots: list[int] | None = None) -> DataFrame:
+        """A table's rows of whole appends, of the given slots only."""
+        rows = self.spark.table(self.tables[kind]).where(F.col("batch") < self.state["next"])
+        if self.state["failed"]:
+            rows = rows.where(~F.col("batch").isin(self.state["failed"]))
+        return rows if slots is None else rows.where(F.col("slot").isin(slots))
+
+    def _slot(self, column: str):
+        return F.pmod(F.col(column), F.lit(self.state["slots"])).cast("int")
+
+    def _slots(self, rows: DataFrame, column: str) -> list[int]:
+        """The slots that some value falls in: a row for each slot at most."""
+        return sorted(r[0] for r in rows.select(self._slot(column)).distinct().collect())
+
+    def _heat(self) -> DataFrame | None:
+        """(key, n) of the hot keys, of which there is one for each ``shard`` rows of bands at most."""
+        if not any(self.state.get("heated", [])):
+            return None
+        return self.read("heat").groupBy("key").agg(F.sum("n").alias("n"))
 
     def append(self, prints: DataFrame) -> None:
-        """Add the classes of ``prints`` (``fingerprints`` of accepted records)."""
-        at = self.signature_path if self.empty else fresh_path(self.spark, "signatures")
-        new = prints.groupBy("h").agg(F.min(F.struct("id", "blob")).alias("m")).select("h", F.col("m.id").alias("rep"), F.col("m.blob").alias("blob"))
-        new.write.option("compression", "zstd").parquet(at)
-        new = self.spark.read.schema("h long, rep long, blob binary").parquet(at)
-        keys = _keys(new, sketch=False).repartition(self.buckets, "key")
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-        keys = keys.withColumn("chunk", F.floor((nth - 1) / self.shard).cast("int")).withColumn("hot", F.col("chunk") > 0)
-        out = keys.write.format("parquet").option("path", self.band_path).option("compression", "zstd")
-        out.partitionBy("hot").bucketBy(self.buckets, "key").sortBy("key").mode("append").saveAsTable(self.bands)
-        if not self.empty:
-            new.write.mode("append").option("compression", "zstd").parquet(self.signature_path)
-        self.empty = False
-
-    def probe(self, new: DataFrame, radius: int = mh.RADIUS) -> DataFrame:
-        """(a, b): a class of the index and a class of ``new`` (rep, blob) that share a band key and are near by their sketches."""
-        if self.empty:
-            return new.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0)
-        mine = _keys(new, sketch=True)
-        held = self.spark.table(self.bands)
-        hits = mine.join(held.where("not hot").select("key", F.col("rep").alias("a")), "key").select("a", F.col("rep").alias("b"), "s0", "s1")
-        hot = held.where("hot").select("key", "chunk", F.col("rep").alias("a"))
-        if not hot.isEmpty():
-            chunks = hot.groupBy("key").agg(F.max("chunk").alias("last"))
-            spread = mine.join(chunks, "key").withColumn("chunk", F.explode(F.sequence(F.lit(1), "last")))
-            hits = hits.unionByName(spread.join(hot, ["key", "chunk"]).select("a", F.col("rep").alias("b"), "s0", "s1"))
-        pairs = hits.where("a <> b").groupBy("a", "b").agg(F.first("s0").alias("s0"), F.first("s1").alias("s1"))
-        own = _sketches(self.signatures()).select(F.col("rep").alias("a"), F.col("s0").alias("t0"), F.col("s1").alias("t1"))
-        near = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) <= radius
-        return pairs.join(own, "a").where(near).select("a", "b")
-
-
-def repeats(index: AcceptedIndex, batch: DataFrame, texts: DataFrame, id_col: str = "id", text_col: str = "text", least: float = mh.SIMILAR) -> tuple[DataFrame, DataFrame]:
-    """The batch's repeats (orig_id, dup_id), and its fingerprints.
-
-    ``orig_id`` is the smallest id, below the record's own, of an alike record in the index or
-    in the batch; ``texts`` holds the text of every id of both (two near candidates are compared
-    on their texts).  Null ids and texts and texts under LEAST_LETTERS are no cases; a repeated
-    row counts once; other columns are not read; an empty batch or index gives no rows.
+        """Add the classes of ``prints`` (``printed`` accepted records)."""
+        number = self.state["next"]
+        before = not self.empty
+        self.state["next"] = number + 1
+        self._save(writing=True)
+        tagged = lambda rows, column: rows.withColumns({"batch": F.lit(number), "slot": self._slot(column)})
+        tagged(_classes(prints), "h").write.insertInto(self.tables["forms"])
+        own = self.read("forms").where(F.col("batch") == number)
+        keys = _keys(own, self.scheme).repartition(self.state["buckets"], "key")
+        had = F.lit(0)
+        if before:
+            mine = keys.select("key").distinct()
+            counts = mine.join(self.read("bands").where(F.col("batch") != number).select("key"), "key").groupBy("key").agg(F.count("*").alias("cold"))
+            keys = keys.join(counts, "key", "left")
+            had = F.coalesce(F.col("cold"), F.lit(0))
+            heat = self._heat()
+            if heat is not None:
+                keys = keys.join(heat, "key", "left")
+                had = had + F.coalesce(F.col("n"), F.lit(0))
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("h")) + had
+        over = Observation()
+        keys = keys.withColumn("chunk", F.floor((nth - 1) / self.shard).cast("int")).select("key", "h", "chunk")
+        seen = keys.observe(over, F.count_if(F.col("chunk") > 0).alias("n"))
+        tagged(seen.where("chunk = 0").select("key", "h"), "key").write.insertInto(self.tables["bands"])
+        if over.get["n"]:
+            hot = cut(keys.where("chunk > 0"), "hot")
+            tagged(hot.select("key", "chunk", "h").repartition(self.state["buckets"], "key", "chunk"), "key").write.insertInto(self.tables["hot"])
+            hot.groupBy("key").agg(F.count("*").alias("n")).withColumn("batch", F.lit(number)).write.insertInto(self.tables["heat"])
+        self.state["heated"] = [bool(any(self.state.get("heated", [])) or over.get["n"])]
+        self._save()
+
+    def probe(self, own: DataFrame) -> DataFrame:
+        """(a, b): hashes of a form of the index and of a form of ``own`` (h, rep, form) that share a band key."""
+        keys = cut(_keys(own, self.scheme), "keys")
+        bands = self.read("bands", self._slots(keys, "key")).select("key", F.col("h").alias("a"))
+        hits = keys.withColumnRenamed("h", "b").join(bands, "key").select("a", "b")
+        heat = self._heat()
+        if heat is not None:
+            sent = keys.withColumnRenamed("h", "b").join(heat, "key").withColumn("chunk", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / self.shard).cast("int"))))
+            hits = hits.unionByName(sent.join(self.read("hot").select("key", "chunk", F.col("h").alias("a")), ["key", "chunk"]).select("a", "b"))
+        return hits.where("a <> b").distinct()
+
+    def alike(self, own: DataFrame, least: float) -> DataFrame:
+        """(h, rep): for each form of ``own`` the smallest id of an equal or alike form of the index."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b.loc[[mh.alike(x, y, least) for x, y in zip(b["fa"], b["fb"])], ["b", "rep"]]
+
+        pairs = cut(self.probe(own).unionByName(own.select(F.col("h").alias("a"), F.col("h").alias("b"))), "met")
+        held = self.read("forms", self._slots(pairs, "a")).select(F.col("h").alias("a"), "rep", F.col("form").alias("fa"))
+        met = pairs.join(held, "a").join(own.select(F.col("h").alias("b"), F.col("form").alias("fb")), "b").select("b", "rep", "fa", "fb")
+        return met.mapInPandas(run, "b long, rep long").groupBy(F.col("b").alias("h")).agg(F.min("rep").alias("rep"))
+
+
+def repeats(index: AcceptedIndex, batch: DataFrame, id_col: str = "id", text_col: str = "text", least: float = mh.SIMILAR) -> tuple[DataFrame, DataFrame]:
+    """The batch's repeats (orig_id, dup_id), and its ``printed`` rows.
+
+    ``orig_id`` is the smallest id, below the record's own, of an alike record in the index or in
+    the batch.  Null ids and texts and texts under LEAST_LETTERS are no cases; a repeated row
+    counts once; other columns are not read; an empty batch or index gives no rows.
     """
-    prints = cut(fingerprints(batch, id_col, text_col), "batch")
-    own = classes(prints)
-    rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    near = index.probe(own)
-    inside = candidate_links(own)
-    links = cut(verified(near.unionByName(inside).distinct(), rows, least).distinct(), "links")
-    turned = links.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    reps = prints.groupBy("h").agg(F.min("id").alias("rep"))
-    held = prints.select("id", "h").distinct().join(reps, "h")
-    # what each class may repeat: itself, the same form in the index, and alike classes of either
-    same = held.select(F.col("id").alias("dup_id"), F.col("rep").alias("orig_id"))
-    linked = links.unionByName(turned).join(held.select(F.col("rep").alias("b"), F.col("id").alias("dup_id")), "b").select("dup_id", F.col("a").alias("orig_id"))
-    found = same.unionByName(linked)
+    prints = cut(printed(batch, id_col, text_col), "batch")
+    own = cut(_classes(prints), "own")
+    links = verified(candidate_links(_blobs(own, "rep", index.scheme), index.scheme), own.select(F.col("rep").alias("id"), F.col("form").alias("text")), least, formed=True)
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # the smallest id that each form may repeat: its own class's, that of an alike class of the batch, or one of the index
+    best = own.select("h", "rep").unionByName(both.join(own.select(F.col("rep").alias("b"), "h"), "b").select("h", F.col("a").alias("rep")))
     if not index.empty:
-        before = index.signatures().select("h", F.col("rep").alias("orig_id"))
-        found = found.unionByName(held.join(before, "h").select(F.col("id").alias("dup_id"), "orig_id"))
-    found = found.where("orig_id < dup_id").groupBy("dup_id").agg(F.min("orig_id").alias("orig_id"))
-    return found.select("orig_id", "dup_id"), prints
+        best = best.unionByName(index.alike(own, least))
+    best = best.groupBy("h").agg(F.min("rep").alias("orig_id"))
+    found = prints.select(F.col("id").alias("dup_id"), "h").join(best, "h").where("orig_id < dup_id")
+    return found.groupBy("dup_id").agg(F.min("orig_id").alias("orig_id")).select("orig_id", "dup_id"), prints
 
 
-def take_batch(index: AcceptedIndex, batch: DataFrame, texts: DataFrame, **how) -> DataFrame:
+def take_batch(index: AcceptedIndex, batch: DataFrame, **how) -> DataFrame:
     """``repeats`` of the batch, written; the records that repeat nothing are then appended to the index."""
-    found, prints = repeats(index, batch, texts, **how)
+    found, prints = repeats(index, batch, **how)
     found = cut(found, "repeats")
     index.append(prints.join(found.select(F.col("dup_id").alias("id")), "id", "left_anti"))
     return found
 
 
-def unprocessed_repeats(messages: DataFrame) -> DataFrame:
-    """(orig_id, dup_id): each message not yet processed that is alike to one with a smaller id, and the smallest such id; those that repeat nothing join the index."""
-    index = AcceptedIndex(messages.sparkSession)
-    index.append(fingerprints(messages.where("l1_processed_at is not null")))
-    return take_batch(index, messages.where("l1_processed_at is null"), messages)
+def unprocessed_repeats(messages: DataFrame, path: str | None = None) -> DataFrame:
+    """(orig_id, dup_id): each message not yet processed that is alike to one with a smaller id, and the smallest such id; those that repeat nothing join the index.
+
+    The index of the processed messages is made at ``path`` (in the shared folder, for this process
+    only, if none is given); one that lies there already is opened and they are not read.
+    """
+    spark = messages.sparkSession
+    if path is not None and read_text(spark, f"{path}/index.json") is not None:
+        index = AcceptedIndex.open(spark, path)
+    else:
+        index = AcceptedIndex.create(spark, path or fresh_path(spark, "accepted"))
+        index.append(printed(messages.where("l1_processed_at is not null")))
+    return take_batch(index, messages.where("l1_processed_at is null"))

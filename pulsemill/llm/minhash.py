@@ -1,26 +1,45 @@
 """Minwise signatures of the four-character stretches of a text's key form, vectorised in numpy.
 
-``SIZE`` hash functions give one minimum each.  The first ``BANDS * ROWS`` of them make the
-band keys (40 bits each, the band's number above them); one bit of every minimum makes the
-``SIZE``-bit sketch whose Hamming distance estimates similarity: two texts of Jaccard
+``SIZE`` hash functions give one minimum each.  The first ``bands * rows`` of them make a
+scheme's band keys (40 bits each, the band's number above them); one bit of every minimum makes
+the ``SIZE``-bit sketch whose Hamming distance estimates similarity: two texts of Jaccard
 similarity J differ in ``SIZE * (1 - J) / 2`` bits on average.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import xxhash
 
 STRETCH = 4
 SIZE = 128
-ROWS = 4
-BANDS = 20
 LEAST_LETTERS = 40
 SIMILAR = 0.6
-#: mean distance at SIMILAR is 25.6 with deviation 4.5: 3.6 deviations above it
-RADIUS = 42
 KEY_BYTES = 5
-BLOB = SIZE // 8 + BANDS * KEY_BYTES
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """Band keys of ``rows`` minima each, and the distance of sketches up to which a pair is looked at.
+
+    A pair of similarity J is missed by the bands with probability ``(1 - J ** rows) ** bands``.
+    """
+
+    bands: int
+    rows: int
+    radius: int
+
+    @property
+    def blob_bytes(self) -> int:
+        return SIZE // 8 + self.bands * KEY_BYTES
+
+
+#: a pair of 0.6 is missed with probability 0.045, one of 0.65 with 0.012, one of 0.7 with 0.002; mean distance at 0.6 is 25.6 with deviation 4.5
+USUAL = Scheme(22, 4, 42)
+#: a pair of 0.6 is missed with probability 0.00004
+THOROUGH = Scheme(42, 3, 56)
 
 _rng = np.random.default_rng(20200301)
 _A = (_rng.integers(1, 2**31, SIZE, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -72,28 +91,28 @@ def minima(keys: list[str]) -> np.ndarray:
     return out
 
 
-def blobs(keys: list[str]) -> list[bytes]:
-    """Per key the sketch and the band keys, packed into BLOB bytes."""
+def blobs(keys: list[str], scheme: Scheme = USUAL) -> list[bytes]:
+    """Per key the sketch and the band keys, packed into ``blob_bytes``."""
     if not keys:
         return []
     m = minima(keys)
     sketch = np.packbits(((m >> np.uint32(9)) & np.uint32(1)).astype(np.uint8), axis=1)
-    bands = m[:, : BANDS * ROWS].reshape(len(keys), BANDS, ROWS).astype(np.uint64)
-    h = np.full((len(keys), BANDS), np.uint64(0x51ED270B))
-    for i in range(ROWS):
+    bands = m[:, : scheme.bands * scheme.rows].reshape(len(keys), scheme.bands, scheme.rows).astype(np.uint64)
+    h = np.full((len(keys), scheme.bands), np.uint64(0x51ED270B))
+    for i in range(scheme.rows):
         h = _mix((h + bands[:, :, i]) * _M)
-    low = h.astype("<u8").view(np.uint8).reshape(len(keys), BANDS, 8)[:, :, :KEY_BYTES]
+    low = h.astype("<u8").view(np.uint8).reshape(len(keys), scheme.bands, 8)[:, :, :KEY_BYTES]
     packed = np.concatenate([sketch, low.reshape(len(keys), -1)], axis=1)
     return [row.tobytes() for row in packed]
 
 
-def unpack(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Sketches as SIZE / 64 signed words a row, and band keys as signed longs, BANDS a row."""
-    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), BLOB)
+def unpack(packed: list[bytes], scheme: Scheme = USUAL) -> tuple[np.ndarray, np.ndarray]:
+    """Sketches as SIZE / 64 signed words a row, and band keys as signed longs, one a band."""
+    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(len(packed), scheme.blob_bytes)
     words = np.ascontiguousarray(raw[:, : SIZE // 8]).view("<i8")
-    keys = np.zeros((len(packed), BANDS, 8), np.uint8)
-    keys[:, :, :KEY_BYTES] = raw[:, SIZE // 8 :].reshape(len(packed), BANDS, KEY_BYTES)
-    keys[:, :, KEY_BYTES] = np.arange(BANDS, dtype=np.uint8)
+    keys = np.zeros((len(packed), scheme.bands, 8), np.uint8)
+    keys[:, :, :KEY_BYTES] = raw[:, SIZE // 8 :].reshape(len(packed), scheme.bands, KEY_BYTES)
+    keys[:, :, KEY_BYTES] = np.arange(scheme.bands, dtype=np.uint8)
     return words, keys.reshape(len(packed), -1).view("<i8")
 
 

@@ -2,11 +2,13 @@
 
 1. Every text becomes its key form, the form's hash and a minwise blob (one Arrow pass).
 2. Texts with one form are a class; its smallest id stands for it, so no group of copies is compared with itself.
-3. Each class goes to the shards of its band keys.  A shard of more than two holds a BK-tree of
-   sketches; each member is looked up among those before it, within RADIUS, then added.  A shard
-   beyond SHARD members (a hot key) is not held: its rows leave in chunks, and each pair of
-   chunks is searched by another task, one chunk's tree against the other's rows.
-4. What the trees report is checked exactly on the key forms.
+3. Each class goes to the shards of its band keys, as (key, class) alone; a class that is by
+   itself in a shard goes no further.  Only then are the sketches joined on.
+4. Every shard, one of two members too, is a BK-tree of sketches that is searched for each of
+   its members, within the scheme's radius.  A shard beyond SHARD members (a hot key) is never
+   held whole: its members are numbered in chunks as they stream past, and each pair of chunks
+   is searched by another task, one chunk's tree for the other's rows.
+5. What the trees report is checked exactly on the key forms.
 """
 
 from __future__ import annotations
@@ -18,16 +20,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, spread, tasks
+from ..session import cut, discard, spread, tasks
 from . import minhash as mh
-from .bktree import BKTree
+from .bktree import Forest
 from .textform import key_form
 
 #: members of a shard that one tree holds
-SHARD = 2000
+SHARD = 4000
 
 
-def fingerprints(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+def fingerprints(texts: DataFrame, id_col: str = "id", text_col: str = "text", scheme: mh.Scheme = mh.USUAL) -> DataFrame:
     """(id, h, blob) of every row with an id and a key form of LEAST_LETTERS or more; others are no cases."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -35,7 +37,7 @@ def fingerprints(texts: DataFrame, id_col: str = "id", text_col: str = "text") -
             forms = [key_form(t) for t in b["text"]]
             keep = [i for i, k in enumerate(forms) if len(k) >= mh.LEAST_LETTERS]
             forms = [forms[i] for i in keep]
-            yield pd.DataFrame({"id": b["id"].to_numpy()[keep], "h": np.array([mh.text_hash(k) for k in forms], np.int64), "blob": mh.blobs(forms)})
+            yield pd.DataFrame({"id": b["id"].to_numpy()[keep], "h": np.array([mh.text_hash(k) for k in forms], np.int64), "blob": mh.blobs(forms, scheme)})
 
     rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     return spread(rows).mapInPandas(run, "id long, h long, blob binary")
@@ -52,92 +54,96 @@ def members(prints: DataFrame) -> DataFrame:
     return prints.select("id", "h").distinct().join(reps, "h").select("id", "rep")
 
 
-def entries(found: DataFrame) -> DataFrame:
-    """A row for each class and band: (key, rep, s0, s1)."""
+def band_keys(found: DataFrame, scheme: mh.Scheme = mh.USUAL, name: str = "rep") -> DataFrame:
+    """(key, name): a row for each class and band of (name, blob)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                words, keys = mh.unpack(list(b["blob"]))
-                yield pd.DataFrame({"key": keys.ravel(), "rep": np.repeat(b["rep"].to_numpy(), mh.BANDS), "s0": np.repeat(words[:, 0], mh.BANDS), "s1": np.repeat(words[:, 1], mh.BANDS)})
-
-    return found.mapInPandas(run, "key long, rep long, s0 long, s1 long")
-
-
-def _word(s0: int, s1: int) -> int:
-    return (s0 & 0xFFFFFFFFFFFFFFFF) << 64 | (s1 & 0xFFFFFFFFFFFFFFFF)
-
-
-def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1, dtype=np.int64)
-
-
-def _search_shards(radius: int, shard: int):
-    """Over rows sorted by key: pairs as (a, b), and rows of shards too large for one tree as (a, key, chunk, s0, s1)."""
-
-    def frame(a, b=None, key=None, chunk=None, s=None) -> pd.DataFrame:
-        n = len(a)
-        none = lambda kind: pd.array([None] * n, kind)
-        return pd.DataFrame(
-            {
-                "a": a,
-                "b": none("Int64") if b is None else pd.array(b, "Int64"),
-                "key": none("Int64") if key is None else pd.array(key, "Int64"),
-                "chunk": none("Int32") if chunk is None else pd.array(chunk, "Int32"),
-                "s0": none("Int64") if s is None else pd.array(s[:, 0], "Int64"),
-                "s1": none("Int64") if s is None else pd.array(s[:, 1], "Int64"),
-            }
-        )
-
-    def groups(key: np.ndarray, rep: np.ndarray, s: np.ndarray) -> pd.DataFrame:
-        """Pairs of whole shards."""
-        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-        sizes = np.diff(np.append(starts, len(key)))
-        two = starts[sizes == 2]
-        near = two[_distance(s[two], s[two + 1]) <= radius]
-        a, b = [rep[near]], [rep[near + 1]]
-        for at, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist()):
-            tree, part = BKTree(), s[at : at + n].tolist()
-            left, right = [], []
-            for item, (s0, s1) in zip(rep[at : at + n].tolist(), part):
-                word = _word(s0, s1)
-                for other in tree.within(word, radius):
-                    left.append(other)
-                    right.append(item)
-                tree.add(word, item)
-            a.append(np.array(left, np.int64))
-            b.append(np.array(right, np.int64))
-        return frame(np.concatenate(a), np.concatenate(b))
+                _, keys = mh.unpack(list(b["blob"]), scheme)
+                yield pd.DataFrame({"key": keys.ravel(), name: np.repeat(b[name].to_numpy(), scheme.bands)})
+
+    return found.select(name, "blob").mapInPandas(run, f"key long, {name} long")
+
+
+def sketches(found: DataFrame, scheme: mh.Scheme = mh.USUAL) -> DataFrame:
+    """(rep, s0, s1) of (rep, blob)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, rep, s = np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 2), np.int64)
-        hot, gone = None, 0  # the key whose rows leave in chunks, and how many did
-        for batch in batches:
-            key = np.concatenate((key, batch["key"].to_numpy(np.int64)))
-            rep = np.concatenate((rep, batch["rep"].to_numpy(np.int64)))
-            s = np.concatenate((s, batch[["s0", "s1"]].to_numpy(np.int64)))
-            while len(key):
-                if hot is not None:
-                    n = int(np.searchsorted(key, hot, "right"))
-                    if n:
-                        yield frame(rep[:n], key=key[:n], chunk=(gone + np.arange(n)) // shard, s=s[:n])
-                        gone += n
-                        key, rep, s = key[n:], rep[n:], s[n:]
-                    if not len(key):
-                        break
-                    hot = None
-                starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-                sizes = np.diff(np.append(starts, len(key)))
-                large = starts[sizes > shard]
-                to = int(large[0]) if len(large) else int(starts[-1])
-                if to:
-                    yield groups(key[:to], rep[:to], s[:to])
-                    key, rep, s = key[to:], rep[to:], s[to:]
-                if not len(large):
-                    break
-                hot, gone = int(key[0]), 0
-        if len(key):
-            yield groups(key, rep, s)
+        for b in batches:
+            if len(b):
+                words, _ = mh.unpack(list(b["blob"]), scheme)
+                yield pd.DataFrame({"rep": b["rep"], "s0": words[:, 0], "s1": words[:, 1]})
+
+    return found.select("rep", "blob").mapInPandas(run, "rep long, s0 long, s1 long")
+
+
+def _number(shard: int):
+    """Over (key, rep) sorted by key: (key, chunk, rep) of keys with two rows or more, chunks of ``shard`` rows; one row is held back at most."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, seen, held = None, 0, None  # the key at hand, its rows before this batch, and its first row while it is the only one
+        for b in batches:
+            key, rep = b["key"].to_numpy(np.int64), b["rep"].to_numpy(np.int64)
+            if not len(key):
+                continue
+            begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            size = np.diff(np.append(begins, len(key)))
+            going_on = last is not None and key[0] == last
+            nth = np.arange(len(key)) - np.repeat(begins, size)
+            if going_on:
+                nth[: size[0]] += seen
+            keep = np.repeat(size > 1, size)
+            if going_on:
+                keep[: size[0]] = True
+            elif len(begins) == 1:
+                keep[:] = True
+            single_at_end = size[-1] == 1 and not (going_on and len(begins) == 1)
+            if single_at_end:
+                keep[-1] = False
+            if going_on and held is not None:
+                yield pd.DataFrame({"key": [last], "chunk": np.zeros(1, np.int32), "rep": [held]})
+            yield pd.DataFrame({"key": key[keep], "chunk": (nth[keep] // shard).astype(np.int32), "rep": rep[keep]})
+            seen = (seen if going_on and len(begins) == 1 else 0) + int(size[-1])
+            last, held = key[-1], rep[-1] if single_at_end else None
+
+    return run
+
+
+def _words(b: pd.DataFrame) -> np.ndarray:
+    return b[["s0", "s1"]].to_numpy(np.int64).view(np.uint64)
+
+
+_FOUND = "a long, b long, visits long"
+
+
+def _found(a: np.ndarray, b: np.ndarray, visits: int) -> pd.DataFrame:
+    """Pairs; the visits they took stand in the first row, which has no pair of its own."""
+    none = np.array([-1])
+    counted = np.zeros(len(a) + 1, np.int64)
+    counted[0] = visits
+    return pd.DataFrame({"a": np.concatenate((none, a)), "b": np.concatenate((none, b)), "visits": counted})
+
+
+def _search_shards(radius: int):
+    """Over (key, rep, s0, s1) sorted by key, none hot: pairs of each shard."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat([rest, b], ignore_index=True)
+            key = b["key"].to_numpy()
+            to = int(np.searchsorted(key, key[-1])) if len(key) else 0
+            rest = b.iloc[to:]
+            if to:
+                yield from search(b.iloc[:to])
+        if rest is not None and len(rest):
+            yield from search(rest)
+
+    def search(b: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rep = b["rep"].to_numpy()
+        for x, y, visits in Forest(b["key"].to_numpy(), _words(b)).pairs(radius):
+            yield _found(rep[x], rep[y], visits)
 
     return run
 
@@ -146,44 +152,71 @@ def _search_chunks(radius: int):
     """Over rows sorted by (key, tree, chunk descending): pairs of a hot shard's chunk ``tree`` with itself and with lower chunks."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        at, tree = None, BKTree()
+        at, parts, forest, reps = None, [], None, None
+
+        def grown() -> Iterator[pd.DataFrame]:
+            nonlocal forest, reps
+            whole = pd.concat(parts, ignore_index=True)
+            reps = whole["rep"].to_numpy()
+            forest = Forest(np.zeros(len(whole), np.int64), _words(whole))
+            for x, y, visits in forest.pairs(radius):
+                yield _found(reps[x], reps[y], visits)
+
         for batch in batches:
-            left, right = [], []
-            for key, which, chunk, rep, s0, s1 in zip(*(batch[c].tolist() for c in ("key", "tree", "chunk", "rep", "s0", "s1"))):
-                if (key, which) != at:
-                    at, tree = (key, which), BKTree()
-                word = _word(s0, s1)
-                for other in tree.within(word, radius):
-                    left.append(other)
-                    right.append(rep)
-                if chunk == which:
-                    tree.add(word, rep)
-            yield pd.DataFrame({"a": np.array(left, np.int64), "b": np.array(right, np.int64)})
+            for which, b in batch.groupby(["key", "tree"], sort=False):
+                if which != at:
+                    if parts and forest is None:
+                        yield from grown()
+                    at, parts, forest = which, [], None
+                own = b["chunk"].to_numpy() == which[1]
+                if own.any():
+                    parts.append(b[own])
+                others = b[~own]
+                if len(others):
+                    if forest is None:
+                        yield from grown()
+                    rep = others["rep"].to_numpy()
+                    for x, y, visits in forest.within(_words(others), radius):
+                        yield _found(reps[x], rep[y], visits)
+        if parts and forest is None:
+            yield from grown()
 
     return run
 
 
-def candidate_links(found: DataFrame, radius: int = mh.RADIUS, shard: int = SHARD) -> DataFrame:
-    """Distinct (a, b), a < b: classes that share a band key and whose sketches differ in ``radius`` bits or fewer."""
+def shards(found: DataFrame, scheme: mh.Scheme = mh.USUAL, shard: int = SHARD) -> DataFrame:
+    """(key, chunk, rep): the classes (rep, blob) of every band key that several have, numbered in chunks of ``shard``."""
+    keys = band_keys(found, scheme).repartition(tasks(found.sparkSession), "key").sortWithinPartitions("key")
+    return keys.mapInPandas(_number(shard), "key long, chunk int, rep long")
+
+
+def reported(found: DataFrame, scheme: mh.Scheme = mh.USUAL, shard: int = SHARD) -> DataFrame:
+    """(a, b, visits): what the trees report, a pair for each shard both are in; rows of a = -1 count the nodes that were visited."""
     spark = found.sparkSession
-    rows = entries(found).repartition(tasks(spark), "key").sortWithinPartitions("key")
-    out = cut(rows.mapInPandas(_search_shards(radius, shard), "a long, b long, key long, chunk int, s0 long, s1 long"), "shards")
-    pairs = out.where("b is not null").select("a", "b")
-    over = out.where("key is not null")
-    if not over.isEmpty():
-        last = over.groupBy("key").agg(F.max("chunk").alias("last"))
-        spread = over.join(last, "key").select("key", "chunk", F.col("a").alias("rep"), "s0", "s1", F.explode(F.sequence("chunk", "last")).alias("tree"))
-        spread = spread.repartition(tasks(spark), "key", "tree").sortWithinPartitions("key", "tree", F.desc("chunk"))
-        pairs = pairs.unionByName(spread.mapInPandas(_search_chunks(radius), "a long, b long"))
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    held = cut(shards(found, scheme, shard), "shards")
+    rows = held.join(sketches(found, scheme), "rep")
+    hot = held.where("chunk > 0")
+    if hot.isEmpty():
+        return rows.repartition(tasks(spark), "key").sortWithinPartitions("key").select("key", "rep", "s0", "s1").mapInPandas(_search_shards(scheme.radius), _FOUND)
+    last = cut(hot.groupBy("key").agg(F.max("chunk").alias("last")), "hot")
+    usual = rows.join(last, "key", "left_anti").repartition(tasks(spark), "key").sortWithinPartitions("key").select("key", "rep", "s0", "s1")
+    sent = rows.join(last, "key").select("key", "chunk", "rep", "s0", "s1", F.explode(F.sequence("chunk", "last")).alias("tree"))
+    sent = sent.repartition(tasks(spark), "key", "tree").sortWithinPartitions("key", "tree", F.desc("chunk"))
+    return usual.mapInPandas(_search_shards(scheme.radius), _FOUND).unionByName(sent.mapInPandas(_search_chunks(scheme.radius), _FOUND))
+
+
+def candidate_links(found: DataFrame, scheme: mh.Scheme = mh.USUAL, shard: int = SHARD) -> DataFrame:
+    """Distinct (a, b), a < b: classes that share a band key and whose sketches differ in ``radius`` bits or fewer."""
+    pairs = reported(found, scheme, shard).where("a <> b")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def verified(links: DataFrame, texts: DataFrame, least: float = mh.SIMILAR) -> DataFrame:
-    """Those (a, b) of ``links`` whose texts are alike; ``texts`` has (id, text), one text to an id."""
+def verified(links: DataFrame, texts: DataFrame, least: float = mh.SIMILAR, formed: bool = False) -> DataFrame:
+    """Those (a, b) of ``links`` whose texts are alike; ``texts`` has (id, text), one text to an id, as key forms if ``formed``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            forms = {t: key_form(t) for t in {*b["ta"], *b["tb"]}}
+            forms = {t: t if formed else key_form(t) for t in {*b["ta"], *b["tb"]}}
             yield b.loc[[mh.alike(forms[x], forms[y], least) for x, y in zip(b["ta"], b["tb"])], ["a", "b"]]
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
@@ -191,17 +224,20 @@ def verified(links: DataFrame, texts: DataFrame, least: float = mh.SIMILAR) -> D
     return links.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
 
 
-def alike_links(texts: DataFrame, id_col: str = "id", text_col: str = "text", least: float = mh.SIMILAR, radius: int = mh.RADIUS, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+def alike_links(texts: DataFrame, id_col: str = "id", text_col: str = "text", least: float = mh.SIMILAR, scheme: mh.Scheme = mh.USUAL, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """Links between class representatives (a, b), and membership (id, rep).
 
     Null ids, null texts and texts under LEAST_LETTERS letters and digits are no cases; a
     repeated row counts once; further columns are not read; an empty table gives empty results.
     If an id stands on rows with different texts each of its texts is a class of its own.
+    ``scheme=minhash.THOROUGH`` misses a pair at the threshold once in 28,000, for about twice the work.
     """
-    prints = cut(fingerprints(texts, id_col, text_col), "prints")
+    prints = cut(fingerprints(texts, id_col, text_col, scheme), "prints")
     held = cut(members(prints), "members")
+    own = cut(classes(prints), "classes")
+    discard(prints)
     rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    return cut(verified(candidate_links(classes(prints), radius, shard), rows, least).distinct(), "links"), held
+    return cut(verified(candidate_links(own, scheme, shard), rows, least).distinct(), "links"), held
 
 
 def alike_pairs(texts: DataFrame, id_col: str = "id", text_col: str = "text", **how) -> DataFrame:

@@ -6,10 +6,11 @@ import itertools
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pulsemill.llm import bpe, incremental, language, leaks, looks, minhash, neardup, sentences, together
-from pulsemill.llm.bktree import BKTree
+from pulsemill.llm.bktree import Forest
 from pulsemill.llm.textform import consistent, folded, key_form
 from pulsemill.sources.tables import table
 
@@ -47,17 +48,38 @@ def test_look_alike_pairs(spark):
 # 7 and 6: near duplicates
 
 
-def test_bk_tree_equals_a_scan():
+def test_bk_forest_equals_a_scan():
     r = random.Random(1)
     words = [r.getrandbits(128) for _ in range(60)]
     words += [w ^ (1 << r.randrange(128)) ^ (1 << r.randrange(128)) for w in words] + words[:5]
-    tree = BKTree()
-    assert tree.within(5, 10) == []
-    for i, w in enumerate(words):
-        tree.add(w, i)
-    for w in words:
-        for radius in (0, 3, 42):
-            assert sorted(tree.within(w, radius)) == [i for i, x in enumerate(words) if (x ^ w).bit_count() <= radius]
+    r.shuffle(words)
+    group = sorted(r.randrange(4) for _ in words)
+    rows = np.array([(w >> 64, w & (2**64 - 1)) for w in words], np.uint64)
+    near = lambda i, j, radius: (words[i] ^ words[j]).bit_count() <= radius
+    one = Forest(np.zeros(len(words), np.int64), rows)
+    for radius in (0, 3, 42):
+        got = [tuple(sorted(p)) for x, y, _ in Forest(np.array(group), rows).pairs(radius) for p in zip(x.tolist(), y.tolist())]
+        assert sorted(got) == [(i, j) for i, j in itertools.combinations(range(len(words)), 2) if group[i] == group[j] and near(i, j, radius)]
+        got = [p for x, y, _ in one.within(rows[:40], radius) for p in zip(x.tolist(), y.tolist())]
+        assert sorted(got) == [(i, j) for i in range(len(words)) for j in range(40) if near(i, j, radius)]
+    assert list(Forest(np.empty(0, np.int64), np.empty((0, 2), np.uint64)).pairs(3)) == [] == list(Forest(np.empty(0, np.int64), np.empty((0, 2), np.uint64)).within(rows, 3))
+    visits = sum(v for *_, v in one.within(rows, 3))
+    assert visits < 0.5 * len(words) ** 2  # a narrow radius prunes
+
+
+def test_shards_are_numbered_across_batches():
+    r = random.Random(3)
+    keys = sorted(r.randrange(12) if r.random() < 0.5 else r.randrange(12, 60) for _ in range(100))
+    rows = list(zip(keys, range(100)))
+    want, seen = [], {}
+    for k, i in rows:
+        if keys.count(k) > 1:
+            want.append((k, seen.get(k, 0) // 3, i))
+        seen[k] = seen.get(k, 0) + 1
+    for size in (1, 2, 7, 100):
+        parts = (pd.DataFrame(rows[i : i + size], columns=["key", "rep"]) for i in range(0, 100, size))
+        got = [tuple(x) for f in neardup._number(3)(parts) for x in f.itertuples(index=False)]
+        assert got == want
 
 
 def _variants(n: int, seed: int) -> list[tuple[int, str]]:
@@ -106,7 +128,7 @@ def test_alike_groups_and_nothing(spark):
     assert got == {(1, 1, 0), (2, 1, 0), (3, 3, 0)}
 
 
-def test_batches_against_the_index(spark):
+def test_batches_against_the_index(spark, tmp_path):
     rows = _variants(30, 9)
     r = random.Random(4)
     old = [x for x in rows if r.random() < 0.6]
@@ -115,33 +137,56 @@ def test_batches_against_the_index(spark):
     pairs = _brute(rows)
     want = {(min(a for a, b in pairs if b == i), i) for i, _ in new if any(b == i for _, b in pairs)}
     for shard in (2000, 1):
-        index = incremental.AcceptedIndex(spark, 4, shard)
-        index.append(neardup.fingerprints(frame(old)))
-        found, _ = incremental.repeats(index, frame([*new, (None, "x" * 50), (999, None)]), frame(rows))
+        path = f"{tmp_path}/index{shard}"
+        index = incremental.AcceptedIndex.create(spark, path, 3, 2, shard)
+        index.append(incremental.printed(frame(old[::2])))
+        index.append(incremental.printed(frame(old[1::2])))
+        index = incremental.AcceptedIndex.open(spark, path)
+        found, _ = incremental.repeats(index, frame([*new, (None, "x" * 50), (999, None)]))
         assert {tuple(x) for x in found.collect()} == want
+        if shard == 1:
+            numbers = {}
+            for row in index.read("hot").collect():
+                numbers.setdefault(row["key"], []).append(row["chunk"])
+            assert numbers and all(sorted(v) == list(range(1, len(v) + 1)) for v in numbers.values())
+            assert {r["key"]: r["n"] for r in index._heat().collect()} == {k: len(v) for k, v in numbers.items()}
+        plan = index.probe(incremental._classes(incremental.printed(frame(new))))._jdf.queryExecution().toString()
+        assert "Bucketed: true" in plan and "slot" in plan
 
 
-def test_accepted_records_are_found_by_the_next_batch(spark):
+def test_an_append_that_never_ended_does_not_count(spark, tmp_path):
     frame = lambda part: spark.createDataFrame(_clash(part), TEXTS)
     a, b = "a quick brown fox jumps over the lazy dog and runs away" * 2, "some other words make up this second text, which is long enough"
-    index = incremental.AcceptedIndex(spark, 2)
-    assert incremental.take_batch(index, frame([(1, a)]), frame([(1, a)])).count() == 0
-    rows = [(2, a + "!"), (3, b), (4, b)]
-    assert {tuple(x) for x in incremental.take_batch(index, frame(rows), frame([(1, a), *rows])).collect()} == {(1, 2), (3, 4)}
-    rows2 = [(5, b.upper())]
-    assert {tuple(x) for x in incremental.take_batch(index, frame(rows2), frame([(1, a), *rows, *rows2])).collect()} == {(3, 5)}
-    assert incremental.take_batch(index, frame([]), frame(rows)).count() == 0
-
-
-def test_unprocessed_records_join_the_index(spark, monkeypatch):
-    made, new = [], incremental.AcceptedIndex
-    monkeypatch.setattr(incremental, "AcceptedIndex", lambda s: made.append(new(s, 2)) or made[-1])
+    index = incremental.AcceptedIndex.create(spark, f"{tmp_path}/index", 2, 2)
+    index.append(incremental.printed(frame([(1, a)])))
+    index.append(incremental.printed(frame([(2, b)])))
+    index._save(writing=True)  # as if the second had died
+    index = incremental.AcceptedIndex.open(spark, f"{tmp_path}/index")
+    found, _ = incremental.repeats(index, frame([(3, a), (4, b)]))
+    assert {tuple(x) for x in found.collect()} == {(1, 3)}
+    with pytest.raises(ValueError):
+        incremental.AcceptedIndex.create(spark, f"{tmp_path}/index")
+    with pytest.raises(ValueError):
+        incremental.AcceptedIndex.open(spark, f"{tmp_path}/none")
+
+
+def test_accepted_records_are_found_by_the_next_batch(spark, tmp_path):
+    frame = lambda part: spark.createDataFrame(_clash(part), TEXTS)
+    a, b = "a quick brown fox jumps over the lazy dog and runs away" * 2, "some other words make up this second text, which is long enough"
+    index = incremental.AcceptedIndex.create(spark, f"{tmp_path}/index", 2, 2)
+    assert incremental.take_batch(index, frame([(1, a)])).count() == 0
+    assert {tuple(x) for x in incremental.take_batch(index, frame([(2, a + "!"), (3, b), (4, b)])).collect()} == {(1, 2), (3, 4)}
+    assert {tuple(x) for x in incremental.take_batch(index, frame([(5, b.upper())])).collect()} == {(3, 5)}
+    assert incremental.take_batch(index, frame([])).count() == 0
+    assert {r["rep"] for r in index.read("forms").collect()} == {1, 3}
+
+
+def test_unprocessed_records_join_the_index(spark, tmp_path):
     a, b = "a quick brown fox jumps over the lazy dog and runs away" * 2, "some other words make up this second text, which is long enough"
     rows = [(1, a, "2024-01-01"), (2, a + "!", None), (3, b, None), (4, b, None)]
     messages = spark.createDataFrame(rows, "id long, text string, at string").selectExpr("*", "cast(at as timestamp_ntz) l1_processed_at")
-    assert {tuple(x) for x in incremental.unprocessed_repeats(messages).collect()} == {(1, 2), (3, 4)}
-    assert {r["rep"] for r in made[0].signatures().collect()} == {1, 3}
-    assert {r["rep"] for r in spark.table(made[0].bands).collect()} == {1, 3}
+    assert {tuple(x) for x in incremental.unprocessed_repeats(messages, f"{tmp_path}/index").collect()} == {(1, 2), (3, 4)}
+    assert {r["rep"] for r in incremental.AcceptedIndex.open(spark, f"{tmp_path}/index").read("forms").collect()} == {1, 3}
 
 
 # 3: items that appear together
