@@ -21,7 +21,8 @@ class PairBoard:
     min_count: int = 3
     min_pmi: float = 1.0
     min_msgs: int = 50
-    most_entities: int = 10
+    #: entities of a message that count, the first by name, as the board is defined; None for all of them
+    most_entities: int | None = 10
     baseline_days: int = 7
 
     def __post_init__(self) -> None:
@@ -41,8 +42,10 @@ def window_mentions(mentions: DataFrame, start: datetime.datetime, end: datetime
     return mentions.where((F.col("ts") >= at(start)) & (F.col("ts") < at(end)) & F.col("msg_id").isNotNull() & F.col("entity").isNotNull()).select("msg_id", "entity").distinct()
 
 
-def capped(rows: DataFrame, most: int) -> DataFrame:
-    """The first ``most`` entities of each message, by name."""
+def capped(rows: DataFrame, most: int | None) -> DataFrame:
+    """The first ``most`` entities of each message, by name; all where it is None."""
+    if most is None:
+        return rows
     order = Window.partitionBy("msg_id").orderBy("entity")
     return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most).drop("k")
 

@@ -71,6 +71,12 @@ def conflicts(vocab: DataFrame) -> DataFrame:
     return g.where(F.size("names") > 1)
 
 
+def name_conflicts(entries: DataFrame, name: str = "name", kind: str = "entity_type") -> DataFrame:
+    """(name, kinds): names that stand in the dictionaries of several types."""
+    g = entries.where(F.col(name).isNotNull() & F.col(kind).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.sort_array(F.collect_set(kind)).alias("kinds"))
+    return g.where(F.size("kinds") > 1)
+
+
 def symbol_hits(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(SYMBOL), F.lit(1))
 
@@ -183,7 +189,7 @@ def mention_rows(messages: DataFrame, vocab: Vocabulary, kols: DataFrame | None
     rows = messages.where("not is_duplicate and text is not null").select("id", "raw_source", "ts", "engagement", "author_weight", F.lower(F.coalesce("author", F.lit(""))).alias("who"), text.alias("text"))
     rows = spread(rows).withColumn("entities", entities(F.col("text"), vocab)).withColumn("e", F.explode("entities"))
     if kols is not None:
-        rows = rows.join(kols.select(F.col("name").alias("who"), F.lit(True).alias("kol")).distinct(), "who", "left")
+        rows = rows.join(kols.select(F.lower("name").alias("who"), F.lit(True).alias("kol")).distinct(), "who", "left")
     else:
         rows = rows.withColumn("kol", F.lit(False))
     return rows.select(

@@ -54,12 +54,17 @@ def _rows(prints: DataFrame, hours: int) -> DataFrame:
     return rows.withColumn("block", F.floor(F.col("bucket") / (hours + 1)))
 
 
-def near_prints(rows: DataFrame, radius: int) -> DataFrame:
-    """(simhash, block, prior_hash, prior_block): fingerprints within the radius in a block and in it or the one before; a fingerprint is one row of a block, however many prints have it."""
+def band_values(simhash: str, radius: int) -> Column:
+    """An array of (band, value): ``radius + 1`` parts of a fingerprint, of which two within the radius have one in common."""
     bands = radius + 1
     width = 64 // bands
-    value = F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("simhash", k * width).bitwiseAND(F.lit((1 << (width if k < bands - 1 else 64 - k * width)) - 1)).alias("value")) for k in range(bands)))
-    kinds = rows.select("simhash", "block").distinct().select("*", F.explode(value).alias("b")).select("simhash", "block", "b.band", "b.value")
+    part = lambda k: F.shiftrightunsigned(simhash, k * width).bitwiseAND(F.lit((1 << (width if k < bands - 1 else 64 - k * width)) - 1))
+    return F.array(*(F.struct(F.lit(k).alias("band"), part(k).alias("value")) for k in range(bands)))
+
+
+def near_prints(rows: DataFrame, radius: int) -> DataFrame:
+    """(simhash, block, prior_hash, prior_block): fingerprints within the radius in a block and in it or the one before; a fingerprint is one row of a block, however many prints have it."""
+    kinds = rows.select("simhash", "block").distinct().select("*", F.explode(band_values("simhash", radius)).alias("b")).select("simhash", "block", "b.band", "b.value")
     own = kinds.select("*", F.explode(F.array("block", F.col("block") - 1)).alias("prior_block"))
     prior = kinds.select(F.col("simhash").alias("prior_hash"), F.col("block").alias("prior_block"), "band", "value")
     return own.join(prior, ["band", "value", "prior_block"]).where(hamming("simhash", "prior_hash") <= radius).select("simhash", "block", "prior_hash", "prior_block").distinct()

@@ -75,6 +75,14 @@ class FingerBTree:
             self._split(at)
         return now
 
+    def items(self) -> list[tuple[int, tuple[int, int]]]:
+        """Periods with their partials, in order."""
+
+        def below(x: _Node) -> list:
+            return list(zip(x.keys, x.below)) if x.leaf else [y for c in x.below for y in below(c)]
+
+        return below(self.root)
+
     def total(self) -> tuple[int, int]:
         return self.root.n, self.root.total
 
@@ -180,6 +188,45 @@ def _corrections(lateness: int):
     return run
 
 
+def _trailing(lateness: int, hours: int):
+    """Over rows as ``_corrections`` takes them, a source together: (source, arrival, n, total) of the last ``hours`` after each hour of arrival."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, tree, clock = None, FingerBTree(), None
+
+        def figures() -> tuple:
+            (n, total), (ahead, more) = tree.since(clock - hours + 1), tree.since(clock + 1)
+            return at[0], clock, n - ahead, total - more
+
+        for b in batches:
+            out = []
+            for source, arrival, period, n, total in zip(*(b[c].tolist() for c in ("source", "arrival", "period", "n", "total"))):
+                if (source,) != at or arrival != clock:
+                    if at is not None:
+                        out.append(figures())
+                    if (source,) != at:
+                        at, tree = (source,), FingerBTree()
+                    clock = arrival
+                    tree.evict(arrival - lateness)
+                tree.add(period, n, total)
+            yield pd.DataFrame(out, columns=["source", "arrival", "n", "total"])
+        if at is not None:
+            yield pd.DataFrame([figures()], columns=["source", "arrival", "n", "total"])
+
+    return run
+
+
+def _hourly(events: DataFrame, source: str, record: str | None, ts: str, arrived: str, value: str, lateness_hours: int) -> DataFrame:
+    """(source, period, arrival, n, total) of the records in time, each counted at its first arrival."""
+    hour = lambda c: F.floor(F.unix_seconds(instant(c)) / HOUR)
+    rows = events.select(F.col(source).alias("source"), (F.col(record) if record else F.lit(None)).alias("r"), F.col(arrived).alias("at"), F.col(ts).alias("ts"), F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("v"))
+    rows = rows.where("ts is not null and at is not null")
+    once = rows.where("r is not null").groupBy("source", "r").agg(F.min(F.struct("at", "ts", "v")).alias("m")).select("source", "m.at", "m.ts", "m.v")
+    rows = once.unionByName(rows.where("r is null").select("source", "at", "ts", "v"))
+    rows = rows.select("source", hour("ts").alias("period"), hour("at").alias("arrival"), "v").where(F.col("arrival") <= F.col("period") + lateness_hours)
+    return rows.groupBy("source", "period", "arrival").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+
+
 def corrected_hours(
     events: DataFrame, source: str = "raw_source", record: str | None = "raw_id", ts: str = "ts", arrived: str = "created_at", value: str = "engagement", lateness_hours: int = 24, block_hours: int = BLOCK_HOURS
 ) -> DataFrame:
@@ -197,19 +244,30 @@ def corrected_hours(
     Rows are brought to one per source, period and hour of arrival, then spread by source and
     block of ``block_hours`` of event time, so that a source with most of the rows is many tasks' work.
     """
-    hour = lambda c: F.floor(F.unix_seconds(instant(c)) / HOUR)
-    rows = events.select(F.col(source).alias("source"), (F.col(record) if record else F.lit(None)).alias("r"), F.col(arrived).alias("at"), F.col(ts).alias("ts"), F.coalesce(F.col(value).cast("long"), F.lit(0)).alias("v"))
-    rows = rows.where("ts is not null and at is not null")
-    once = rows.where("r is not null").groupBy("source", "r").agg(F.min(F.struct("at", "ts", "v")).alias("m")).select("source", "m.at", "m.ts", "m.v")
-    rows = once.unionByName(rows.where("r is null").select("source", "at", "ts", "v"))
-    rows = rows.select("source", hour("ts").alias("period"), hour("at").alias("arrival"), "v").where(F.col("arrival") <= F.col("period") + lateness_hours)
-    hourly = rows.groupBy("source", "period", "arrival").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    hourly = _hourly(events, source, record, ts, arrived, value, lateness_hours)
     hourly = hourly.withColumn("block", F.floor(F.col("period") / block_hours))
     spread = hourly.repartition(tasks(events.sparkSession), "source", "block").sortWithinPartitions("source", "block", "arrival", "period")
     kinds = "source string, period long, arrival long, added long, n long, total long"
     return spread.select("source", "block", "arrival", "period", "n", "total").mapInPandas(_corrections(lateness_hours), kinds)
 
 
+def trailing_at_arrival(
+    events: DataFrame, hours: int = 24, source: str = "raw_source", record: str | None = "raw_id", ts: str = "ts", arrived: str = "created_at", value: str = "engagement", lateness_hours: int = 24
+) -> DataFrame:
+    """(source, arrival, n, total): after each hour of arrival, a source's figures over the ``hours`` of event time up to that hour, as known then.
+
+    Read off the tree's partials: whole subtrees count by their own.  Rows as ``corrected_hours`` takes
+    them; hours of arrival without a record give no row, hours ahead of the arrival do not count.  A
+    source is one task's work here, after it was brought to a row for each period and hour of arrival,
+    so what the task reads grows with the time the table spans and not with its rows.
+    """
+    if hours > lateness_hours + 1:
+        raise ValueError("the hours asked for must not reach behind the cut-off")
+    hourly = _hourly(events, source, record, ts, arrived, value, lateness_hours)
+    rows = hourly.repartition(tasks(events.sparkSession), "source").sortWithinPartitions("source", "arrival", "period")
+    return rows.select("source", "arrival", "period", "n", "total").mapInPandas(_trailing(lateness_hours, hours), "source string, arrival long, n long, total long")
+
+
 def hour_text(hours: str):
     """'yyyy-MM-ddTHH' of a number of hours since 1970."""
     return F.date_format(F.timestamp_seconds(F.col(hours) * HOUR), "yyyy-MM-dd'T'HH")

@@ -39,10 +39,10 @@ def all_posts(twitter: DataFrame, binance: DataFrame, discord: DataFrame) -> Dat
     return out
 
 
-def normalized_rows(posts: DataFrame) -> DataFrame:
-    """Normalized messages of posts: cleaned text, constants of a new row; blank posts give none."""
+def normalized_rows(posts: DataFrame, *more: str) -> DataFrame:
+    """Normalized messages of posts: cleaned text, constants of a new row, and the columns asked for; blank posts give none."""
     rows = posts.withColumn("text", clean_text("content")).where("text <> ''")
-    return rows.select("raw_source", "raw_id", "text", "author", F.lit(1.0).alias("author_weight"), "ts", F.lit(0).alias("engagement"))
+    return rows.select("raw_source", "raw_id", "text", "author", F.lit(1.0).alias("author_weight"), "ts", F.lit(0).alias("engagement"), *more)
 
 
 def unprocessed(messages: DataFrame, limit: int | None = None) -> DataFrame:

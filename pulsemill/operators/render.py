@@ -26,9 +26,19 @@ def markdown_escaped(text: Column) -> Column:
     return F.regexp_replace(text, r"([\\_*`\[])", r"\\$1")
 
 
+# The words of a digest's line and of a hint.
+DIGEST_LINE, NO_KIND, NEW_MARK = "%d. `%s` (%s) growth=%.1fx 提及=%d 跨源=%d", "n/a", " ★"
+HINT, BETWEEN_HINTS, NO_HINT = "%s（PMI %.2f）", "、", "（暂无）"
+
+
 def digest_line(rank: Column, entity: Column, kind: Column, growth: Column, n: Column, cross: Column, new: Column) -> Column:
     """One ranked line of a digest."""
-    return F.concat(F.format_string("%d. `%s` (%s) growth=%.1fx 提及=%d 跨源=%d", rank, markdown_escaped(entity), F.coalesce(kind, F.lit("?")), growth, n, cross), F.when(new, " ★").otherwise(""))
+    return F.concat(F.format_string(DIGEST_LINE, rank, markdown_escaped(entity), F.coalesce(kind, F.lit(NO_KIND)), growth, n, cross), F.when(new, NEW_MARK).otherwise(""))
+
+
+def local_time(ts: Column, zone: str, short: bool = False) -> Column:
+    """A timestamp (UTC where it names no zone) as hour and minute of a zone, with the day unless ``short``."""
+    return F.date_format(F.from_utc_timestamp(ts.cast("timestamp"), zone), "HH:mm" if short else "yyyy-MM-dd HH:mm")
 
 
 def evidence_line(author: Column, ts: Column, text: Column) -> Column:
@@ -36,6 +46,13 @@ def evidence_line(author: Column, ts: Column, text: Column) -> Column:
     return F.concat(F.lit("["), F.coalesce(author, F.lit("anon")), F.lit(" @ "), F.date_format(ts, "yyyy-MM-dd HH:mm"), F.lit("] "), F.substring(clean_text(text), 1, EVIDENCE_CHARS))
 
 
+def evidence_block(lines: DataFrame, order: list[Column], line: str = "line") -> DataFrame:
+    """One row, ``block``: the lines of a few messages, an empty line between two."""
+    k = F.row_number().over(Window.orderBy(*order))  # over the few lines of a prompt
+    parts = F.sort_array(F.collect_list(F.struct("k", F.col(line).alias("t"))))
+    return lines.withColumn("k", k).agg(F.array_join(F.transform(parts, lambda p: p["t"]), "\n\n").alias("block"))
+
+
 def evidence(messages: DataFrame, mentions: DataFrame, entity: str, n: int) -> DataFrame:
     """The ``n`` messages of most engagement that mention the entity; ties by id."""
     hit = mentions.where(F.col("entity") == entity).select(F.col("msg_id").alias("id")).distinct()
@@ -46,9 +63,9 @@ def hint(neighbors: DataFrame, most: int = 3) -> DataFrame:
     """One row, ``hint``: the strongest partners with their scores, or a word for none."""
     order = Window.orderBy(F.desc("pmi"), "other")  # over a handful of rows
     top = neighbors.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most)
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("k", F.format_string("%s（PMI %.2f）", "other", "pmi").alias("t")))), lambda s: s["t"])
-    joined = F.array_join(parts, "、")
-    return top.agg(F.when(joined == "", "（暂无）").otherwise(joined).alias("hint"))
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("k", F.format_string(HINT, "other", "pmi").alias("t")))), lambda s: s["t"])
+    joined = F.array_join(parts, BETWEEN_HINTS)
+    return top.agg(F.when(joined == "", NO_HINT).otherwise(joined).alias("hint"))
 
 
 def parsed_answer(raw: Column) -> Column:

@@ -108,7 +108,7 @@ register(
 )
 register(
     "random_audit",
-    lambda spark, d: messages(spark, d).where("l1_processed_at is not null and not is_duplicate").orderBy(F.xxhash64("id", F.lit(7)), "id").limit(20).select("id"),
+    lambda spark, d: messages(spark, d).where("l1_processed_at is not null and not is_duplicate").orderBy(F.rand()).limit(20).select("id"),
     None,
 )
 register(
@@ -180,19 +180,52 @@ register(
 )
 register("hint_render", lambda spark, d: r.hint(pairs.neighbors(spark, d)), pairs._SQL + """select coalesce(string_agg(other || '（PMI ' || format('{:.2f}', pmi) || '）', '、' order by pmi desc, other), '（暂无）') hint from
 (select case when entity_a = 'RICAKI' then entity_b else entity_a end other, round(pmi, 6) pmi from b where entity_a = 'RICAKI' or entity_b = 'RICAKI' order by b.pmi desc, other limit 3)""")
-_ANSWERS = (
-    '{"narrative": "a", "catalyst": " ", "fund_logic": null, "sentiment": "bullish", "confidence": "0.85"}', '```json\n{"narrative": "b", "sentiment": "odd", "confidence": 0.5}\n```', '{"narrative": "c", "sentiment": neutral, "confidence": "x"}',
-    "not a json at all", "", "[1, 2, 3]", None,
-)
 
 
 def json_parse(spark: SparkSession, d: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(_ANSWERS)), "i int, raw string")
-    return rows.select("i", r.parsed_answer(F.col("raw")).alias("p")).select("i", "p.*")
+    """An answer made of each message's text, author and source, in the ways a model writes one, and read again: fenced, its sentiment bare or unknown, a list, or no JSON."""
+    m = messages(spark, d).where("raw_source is not null")
+    field = F.to_json(F.struct(F.col("text").alias("narrative"), F.col("author").alias("catalyst"), F.lit(" ").alias("fund_logic"), F.col("author_weight").cast("string").alias("confidence")), {"ignoreNullFields": "false"})
+    said = F.when(F.col("raw_source") == "twitter", F.lit('"bullish"')).when(F.col("raw_source") == "discord", F.lit("neutral")).otherwise(F.lit('"odd"'))
+    whole = F.concat(F.expr("substring(f, 1, length(f) - 1)"), F.lit(', "sentiment": '), said, F.lit("}"))
+    raw = F.when(F.col("is_duplicate"), F.concat(F.lit("["), whole, F.lit("]"))).when(F.col("author").isNull(), F.col("text")).when(F.col("raw_source") == "binance_square", F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    return m.withColumn("f", field).select("id", r.parsed_answer(raw).alias("p")).select("id", "p.valid", "p.sentiment", "p.confidence", F.length("p.narrative").alias("narrative_chars"), F.col("p.catalyst").alias("catalyst"), "p.fund_logic")
 
 
-register("json_parse", json_parse, """select * from (values (0, true, 'a', null::varchar, null::varchar, 'bullish', 0.85::double), (1, true, 'b', null, null, null, 0.5), (2, true, 'c', null, null, 'neutral', null),
-(3, false, null, null, null, null, null), (4, false, null, null, null, null, null), (5, false, null, null, null, null, null), (6, false, null, null, null, null, null)) v(i, valid, narrative, catalyst, fund_logic, sentiment, confidence)""")
+_VALID = "(not is_duplicate and author is not null)"
+register("json_parse", json_parse, rf"""select id, {_VALID} "valid", case when {_VALID} then case raw_source when 'twitter' then 'bullish' when 'discord' then 'neutral' end end sentiment, case when {_VALID} then author_weight end confidence,
+case when {_VALID} then nullif(length(regexp_replace(text, '^\s+|\s+$', '', 'g')), 0)::int end narrative_chars, case when {_VALID} then nullif(trim(author), '') end catalyst, null::varchar fund_logic from normalized_messages where raw_source is not null""")
+
+
+def evidence_block(spark: SparkSession, d: str) -> DataFrame:
+    rows = r.evidence(messages(spark, d), mentions(spark, d), "RICAKI", 10).select("id", "engagement", r.evidence_line(F.col("author"), F.col("ts"), F.col("text")).alias("line"))
+    return r.evidence_block(rows, [F.desc("engagement"), F.col("id")])
+
+
+register("evidence_block", evidence_block, f"""select string_agg('[' || coalesce(author, 'anon') || ' @ ' || strftime(ts, '%Y-%m-%d %H:%M') || '] ' || substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 300), E'\\n\\n' order by engagement desc, id) as block from {_EV}""")
+register(
+    "local_times",
+    lambda spark, d: messages(spark, d).where("ts is not null").groupBy(r.local_time(F.col("ts"), "Asia/Shanghai").alias("minute"), r.local_time(F.col("ts"), "Asia/Shanghai", True).alias("clock")).agg(F.count("*").alias("n")),
+    "select strftime(ts + interval 8 hour, '%Y-%m-%d %H:%M') as \"minute\", strftime(ts + interval 8 hour, '%H:%M') clock, count(*) n from normalized_messages where ts is not null group by 1, 2",
+)
+
+
+def laggard_sources(spark: SparkSession, d: str) -> DataFrame:
+    """Sources with some, but under 5 %, of the last day's messages."""
+    return source_distribution(spark, d).where("n_24h > 0 and share < 5").select("raw_source", "n_24h", "share")
+
+
+register("laggard_sources", laggard_sources, f"select raw_source, n_24h, share from (select *, round(n_24h * 100.0::double / nullif(sum(n_24h) over (), 0), 1) share from ({_DIST})) where n_24h > 0 and share < 5")
+register(
+    "ingest_rate_10min",
+    lambda spark, d: messages(spark, d).where("created_at is not null").groupBy("raw_source", F.window(F.col("created_at").cast("timestamp"), "10 minutes").alias("w")).agg(F.count("*").alias("n")).select("raw_source", F.col("w.start").cast("timestamp_ntz").alias("since"), "n"),
+    "select raw_source, time_bucket(interval 10 minute, created_at) since, count(*) n from normalized_messages where created_at is not null group by 1, 2",
+)
+register(
+    "sentiment_nulls_last",
+    lambda spark, d: messages(spark, d).orderBy(F.desc_nulls_last("sentiment_score"), "id").limit(50).select("id", "sentiment_score"),
+    "select id, sentiment_score from normalized_messages order by sentiment_score desc nulls last, id limit 50",
+)
 
 
 def asof_snapshot(spark: SparkSession, d: str) -> DataFrame:

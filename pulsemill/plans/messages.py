@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from ..operators import extract as x
 from ..operators import fingerprints as fp
-from ..operators import keyed
+from ..operators import ingest, keyed
 from ..operators import normalize as n
 from ..operators.hotness import at
-from ..session import spread
+from ..session import fresh_path, spread
 from ..sources.tables import table
 from .registry import register
 
@@ -64,17 +64,21 @@ register("mentions_since", lambda spark, d: table(spark, d, "entity_mentions").w
 
 # ---- fingerprints ----
 
-_GRAMS = r"""
-with recursive t as (select id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), '') s from normalized_messages where text is not null),
+
+def _simhash_sql(rows: str) -> str:
+    """Common tables that give ``u`` (id, v): the fingerprint of each (id, text) of ``rows``, v without sign."""
+    return rf"""t as (select id, array_to_string(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), '') s from {rows} where text is not null),
 g as (select id, substr(s, i::bigint, 4) f, count(*) w from (select id, s, unnest(generate_series(1, greatest(length(s) - 3, 1))) i from t) group by 1, 2),
 h as (select id, w, ('0x' || substr(md5(f), 17))::ubigint v from g),
-b as (select id, k, sum(w) filter (where (v >> k) & 1 = 1) o, sum(w) n from h, (select unnest(generate_series(0, 63))::ubigint k) group by 1, 2),
-u as (select id, sum(case when coalesce(o, 0) * 2 > n then (1::hugeint << k::hugeint) else 0::hugeint end) v from b group by 1)
+u as (select id, {" + ".join(f"case when sum(w) filter (where v & {1 << k}::ubigint <> 0) * 2 > sum(w) then {1 << k}::hugeint else 0::hugeint end" for k in range(64))} v from h group by 1)
 """
+
+
+_SIGNED = "(case when u.v >= 9223372036854775808::hugeint then u.v - 18446744073709551616::hugeint else u.v end)::bigint"
 register(
     "simhash64",
     lambda spark, d: spread(messages(spark, d).where("text is not null").select("id", "text")).select("id", fp.simhash64("text").alias("simhash")),
-    None,
+    f"with {_simhash_sql('normalized_messages')} select id, {_SIGNED} simhash from u",
 )
 register(
     "simhash_check",
@@ -97,7 +101,7 @@ register(
 # ---- rules and entities ----
 
 _T = f"with t as (select id, {_STRIP.format('coalesce(text, $$$$)')} s from normalized_messages)\n"
-_SYMBOL = r"\$([A-Za-z一-鿿][A-Za-z0-9一-鿿]*|\d[\d.]*[BMK]?)"
+_SYMBOL = x.SYMBOL
 _WHY = (
     _T
     + f""", v as (select '(^|[^A-Za-z0-9])(' || coalesce(string_agg(distinct name, '|') filter (where entity_type = 'ticker' and regexp_full_match(name, '[ -~]+')), 'a^') || ')([^A-Za-z0-9]|$)' en,
@@ -157,11 +161,22 @@ lower(coalesce(m.author, '')) in (select lower(name) from vocab where entity_typ
 
 
 def kol_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    who = messages(spark, sf_dir).where("author is not null").groupBy(F.lower("author").alias("who")).agg(F.count("*").alias("n")).where("n >= 30")
-    return messages(spark, sf_dir).join(who, F.lower("author") == F.col("who"), "left").select("id", F.col("who").isNotNull().alias("is_kol"))
+    """Messages with a mention, and whether their author is one of those with 30 messages or more."""
+    who = messages(spark, sf_dir).where("author is not null").groupBy(F.lower("author").alias("name")).agg(F.count("*").alias("n")).where("n >= 30")
+    return x.mention_rows(messages(spark, sf_dir), vocabulary(spark, sf_dir), who).select("msg_id", "is_kol_mention").distinct()
 
 
-register("kol_flag", kol_flag, "select id, coalesce(lower(author) in (select lower(author) from normalized_messages where author is not null group by 1 having count(*) >= 30), false) is_kol from normalized_messages")
+register(
+    "kol_flag",
+    kol_flag,
+    _PATTERNS + _MERGED + """select distinct m.id msg_id, coalesce(lower(m.author) in (select lower(author) from normalized_messages where author is not null group by 1 having count(*) >= 30), false) is_kol_mention
+from e join normalized_messages m on m.id = e.id where not m.is_duplicate and m.text is not null""",
+)
+register(
+    "name_conflicts",
+    lambda spark, d: x.name_conflicts(table(spark, d, "entity_mentions"), "entity"),
+    "select entity as name, list_sort(list(distinct entity_type)) kinds from entity_mentions where entity is not null and entity_type is not null group by 1 having count(distinct entity_type) > 1",
+)
 register("vocab_conflicts", lambda spark, d: x.conflicts(table(spark, d, "vocab").unionByName(table(spark, d, "vocab").where("ord < 5").withColumn("name", F.concat("name", F.lit("_2"))))), "select lower(alias) alias, list_sort(list(distinct name)) as names from (select alias, name from vocab union all select alias, name || '_2' from vocab where ord < 5) group by 1 having count(distinct name) > 1")
 register("alias_index", lambda spark, d: table(spark, d, "vocab").groupBy(F.lower("alias").alias("alias")).agg(F.min_by("name", "ord").alias("name"), F.min_by("entity_type", "ord").alias("entity_type"), F.min("ord").alias("ord")), "select lower(alias) alias, arg_min(name, ord) as name, arg_min(entity_type, ord) entity_type, min(ord) ord from vocab group by 1")
 
@@ -197,3 +212,52 @@ register(
     lambda spark, d: keyed.mark_processed(messages(spark, d), messages(spark, d).where("not is_duplicate").select("id"), at(MOMENT)).select("id", "l1_processed_at"),
     "select id, case when not is_duplicate then coalesce(l1_processed_at, timestamp '2020-04-20 18:00:00') else l1_processed_at end l1_processed_at from normalized_messages",
 )
+
+
+# ---- the composed steps ----
+
+
+def _store(spark: SparkSession) -> ingest.Store:
+    return ingest.Store.at(spark, fresh_path(spark, "store"), parts=8)
+
+
+def ingest_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All raw posts taken into an empty store, then all of them again, which adds nothing."""
+    store = _store(spark)
+    for _ in range(2):
+        ingest.ingest(store, _posts(spark, sf_dir))
+    return store.messages.read().select("id", "raw_source", "raw_id", "ts", "simhash", "is_duplicate", "dup_of", "l1_processed_at")
+
+
+def extract_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions of all messages, as if none had been processed; a second run finds none to process."""
+    store = _store(spark)
+    store.messages.insert_ignore(messages(spark, sf_dir).withColumn("l1_processed_at", F.lit(None).cast("timestamp_ntz")))
+    vocab = vocabulary(spark, sf_dir)
+    for _ in range(2):
+        ingest.extract(store, vocab, MOMENT)
+    done = store.messages.read().select(F.col("id").alias("msg_id"), F.col("l1_processed_at").alias("done"))
+    return store.mentions.read().join(done, "msg_id").select("msg_id", "entity", "entity_type", "confidence", "is_kol_mention", "done")
+
+
+_KEYED_POSTS = f"""p as (select *, {_STRIP.format('content')} as text, (case raw_source when 'twitter' then 0 when 'binance_square' then 1 else 2 end) * 72057594037927936 + raw_id id from ({_POSTS})),
+k as (select * from p where text <> '')"""
+register(
+    "ingest_twice",
+    ingest_twice,
+    f"""with {_KEYED_POSTS}, {_simhash_sql('k')},
+f as (select k.id, k.raw_source, k.raw_id, k.ts, {_SIGNED} simhash, epoch(k.ts)::bigint // 3600 b from k join u on u.id = k.id),
+m as (select x.id msg_id, arg_min(y.id, (y.b, y.ts, y.id)) dup_of from f x join f y on y.b between x.b - 24 and x.b and (y.ts < x.ts or y.ts = x.ts and y.id < x.id) where bit_count(xor(x.simhash, y.simhash)) <= 3 group by 1)
+select f.id, raw_source, raw_id, ts, simhash, dup_of is not null is_duplicate, dup_of, null::timestamp l1_processed_at from f left join m on m.msg_id = f.id""",
+)
+_ONCE = "(select * from normalized_messages qualify row_number() over (partition by raw_source, raw_id order by id) = 1)"
+register(
+    "extract_twice",
+    extract_twice,
+    _PATTERNS + _MERGED + f"""select m.id msg_id, e.name entity, e.entity_type, e.confidence, false is_kol_mention, timestamp '{MOMENT}' done from e join {_ONCE} m on m.id = e.id where not m.is_duplicate and m.text is not null""",
+)
+register(
+    "unprocessed_batch",
+    lambda spark, d: n.unprocessed(messages(spark, d), 500).select("id", "ts"),
+    "select id, ts from normalized_messages where not is_duplicate and l1_processed_at is null order by ts, id limit 500",
+)

@@ -28,6 +28,12 @@ def p4_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("source", late_events.hour_text("period").alias("period_hour"), late_events.hour_text("arrival").alias("arrival_hour"), "added", "n", "total")
 
 
+def p4_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """After each hour of arrival, each source's figures of the 24 hours up to it, as known then."""
+    c = late_events.trailing_at_arrival(table(spark, sf_dir, "normalized_messages"))
+    return c.select("source", late_events.hour_text("arrival").alias("arrival_hour"), "n", "total")
+
+
 _DAILY = """
 with m as (select entity, msg_id, min(ts::date) d, max(engagement) v from entity_mentions where entity is not null and ts is not null group by 1, 2),
 g as (select unnest(generate_series((select min(ts)::date from entity_mentions), (select max(ts)::date from entity_mentions), interval 1 day))::date d),
@@ -59,3 +65,10 @@ register(
     + """select raw_source source, strftime(p, '%Y-%m-%dT%H') period_hour, strftime(a, '%Y-%m-%dT%H') arrival_hour, added,
 (sum(added) over w)::bigint n, (sum(v) over w)::bigint total from h window w as (partition by raw_source, p order by a)""",
 )
+register(
+    "p4_trailing",
+    p4_trailing,
+    _ARRIVALS
+    + """select d.raw_source source, strftime(d.a, '%Y-%m-%dT%H') arrival_hour, coalesce(sum(x.added), 0)::bigint n, coalesce(sum(x.v), 0)::bigint total
+from (select distinct raw_source, a from h) d left join h x on x.raw_source = d.raw_source and x.a <= d.a and x.p > d.a - interval 24 hour and x.p <= d.a group by all""",
+)

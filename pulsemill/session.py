@@ -44,11 +44,11 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
 def discard(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for ``df`` before the process ends; nothing that is still to run may read it."""
     for entry in [e for e in _written if e[1] == df._pulsemill_path]:
-        _delete(*entry)
+        delete(*entry)
         _written.remove(entry)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -86,7 +86,7 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
 def _forget() -> None:
     for spark, path in _written:
         try:
-            _delete(spark, path)
+            delete(spark, path)
         except Exception:  # the JVM may be gone already
             return
 

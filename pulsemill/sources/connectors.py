@@ -1,4 +1,4 @@
-"""Other ways in and out: a relational database, a folder of files as a stream, dictionaries of a folder, keyed tables."""
+"""Other ways in and out: a relational database, a folder of files as a stream, dictionaries of a folder."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators import keyed
-from ..session import fresh_path
-
 # The dictionary files, each with the entity type of its entries, in order.
 FILES = {"tickers": "ticker", "chains": "chain", "narratives": "narrative", "kols": "kol"}
 
@@ -22,6 +19,11 @@ def jdbc_table(spark: SparkSession, url: str, name: str, key: str | None = None,
     return r.load()
 
 
+def write_jdbc(rows: DataFrame, url: str, name: str, mode: str = "append", parts: int = 16, **options: str) -> None:
+    """Rows into a database table, over ``parts`` connections at most; within a connection in batches, each part in one transaction."""
+    rows.coalesce(parts).write.format("jdbc").option("url", url).option("dbtable", name).option("batchsize", "5000").options(**options).mode(mode).save()
+
+
 def folder_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
@@ -72,26 +74,3 @@ def load_vocabulary(spark: SparkSession, folder: str) -> DataFrame:
     rows = vocabulary_rows(lambda name: _yaml(os.path.join(folder, f"{name}.yaml")))
     return spark.createDataFrame(rows, "ord int, alias string, name string, entity_type string, category string").selectExpr("*", "1.0D as weight")
 
-
-class KeyedTable:
-    """A Parquet table with unique keys in the shared folder: each write makes a new version, then the version in force is switched."""
-
-    def __init__(self, spark: SparkSession, schema: str, key: list[str]) -> None:
-        self.spark, self.schema, self.key = spark, schema, key
-        self.path: str | None = None
-
-    def read(self) -> DataFrame:
-        if self.path is None:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self.path)
-
-    def _write(self, rows: DataFrame) -> None:
-        path = fresh_path(self.spark, "table")
-        rows.write.option("compression", "zstd").parquet(path)
-        self.path = path
-
-    def insert_ignore(self, new: DataFrame) -> None:
-        self._write(keyed.insert_ignore(self.read(), new, self.key))
-
-    def upsert(self, new: DataFrame) -> None:
-        self._write(keyed.upsert(self.read(), new, self.key))

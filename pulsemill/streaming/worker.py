@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import datetime
 import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.hotness import quarter_of
+from ..session import read_text, write_text
+
 log = logging.getLogger("pulsemill.worker")
 
 Stage = Callable[[DataFrame, int], object]
@@ -42,6 +46,35 @@ class Worker:
         return (writer.trigger(processingTime=poll) if poll else writer.trigger(availableNow=True)).start()
 
 
+@dataclass
+class QuarterGate:
+    """Runs an action once for each quarter of an hour, also over restarts: the last quarter done is kept in a file.
+
+    A quarter whose action fails or returns false stays open, unless ``always``.
+    """
+
+    spark: SparkSession
+    path: str
+    action: Callable[[datetime.datetime], bool]
+    always: bool = False
+
+    def last(self) -> datetime.datetime | None:
+        text = read_text(self.spark, self.path)
+        return datetime.datetime.fromisoformat(text) if text else None
+
+    def __call__(self, now: datetime.datetime) -> bool:
+        end, last = quarter_of(now), self.last()
+        if last is not None and end <= last:
+            return False
+        done = False
+        try:
+            done = bool(self.action(end))
+        finally:
+            if done or self.always:
+                write_text(self.spark, self.path, end.isoformat())
+        return done
+
+
 @dataclass
 class Burst:
     """Fires when enough rows came in since it last did, and not too soon after; rows stay counted until a firing succeeds."""
