@@ -31,7 +31,7 @@ def _first(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def _ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def ranges(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All members of the ranges [lo, hi), and which range each is of."""
     n = np.maximum(hi - lo, 0)
     which = np.repeat(np.arange(len(n)), n)
@@ -91,7 +91,7 @@ class Forest:
             right.append(node[near])
             lo = np.searchsorted(self.keys, node * _EDGE + np.maximum(d - radius, 0))
             hi = np.searchsorted(self.keys, node * _EDGE + np.minimum(d + radius, _EDGE - 1), "right")
-            at, which = _ranges(lo, hi)
+            at, which = ranges(lo, hi)
             query, node = query[which], self.child[at]
             if earlier:  # a node is the first of all below it
                 keep = node < query
@@ -121,14 +121,14 @@ class Forest:
             place = np.concatenate([np.arange(self.starts[k], self.starts[k + 1]) for k in several])
             end = np.repeat(self.starts[several + 1], np.diff(self.starts)[several])
             for a, b in self._slices(end - place):
-                other, which = _ranges(place[a:b] + 1, end[a:b])
+                other, which = ranges(place[a:b] + 1, end[a:b])
                 yield self.items[place[a:b][which]], self.items[other], len(which)
 
     def _items(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Items of pairs of nodes, each of the one's with each of the other's."""
-        x, which = _ranges(self.starts[one], self.starts[one + 1])
+        x, which = ranges(self.starts[one], self.starts[one + 1])
         two = two[which]
-        y, which = _ranges(self.starts[two], self.starts[two + 1])
+        y, which = ranges(self.starts[two], self.starts[two + 1])
         return self.items[x[which]], self.items[y]
 
     def within(self, words: np.ndarray, radius: int):
@@ -137,5 +137,5 @@ class Forest:
             return
         for a, b in self._slices(np.full(len(words), len(self.words))):
             q, node, visits = self._walk(words, np.arange(a, b), np.zeros(b - a, np.int64), radius, False)
-            x, which = _ranges(self.starts[node], self.starts[node + 1])
+            x, which = ranges(self.starts[node], self.starts[node + 1])
             yield self.items[x], q[which], visits

@@ -26,9 +26,9 @@ from ..session import spread
 # Fixed value: the public pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
-#: characters of text encoded at once, and pre-tokens a worker remembers
+#: characters of text encoded at once, and pieces and pre-tokens a worker remembers: of each, and characters of both
 RUN_CHARS = 24_000_000
-REMEMBERED = 200_000
+REMEMBERED, REMEMBERED_CHARS = 200_000, 16_000_000
 #: buckets of up to so many positions are merged one by one
 FEW = 6
 
@@ -218,7 +218,8 @@ _WIDE = regex.compile(r"\s{3}")
 class Encoder:
     """Encodes batches of texts by distinct pieces (a space and what follows up to the next one) of distinct pre-tokens.
 
-    Pieces and pre-tokens of earlier batches are remembered, up to REMEMBERED of each.
+    Pieces and pre-tokens of earlier batches are remembered, up to REMEMBERED of each and
+    REMEMBERED_CHARS together; what is over either bound after a batch is forgotten before the next.
     """
 
     def __init__(self, source: bytes) -> None:
@@ -229,10 +230,11 @@ class Encoder:
     def _forget(self) -> None:
         self.tokens, self.token_ids = _Numbers(), _Ragged()
         self.pieces, self.piece_ids = _Numbers(), _Ragged()
+        self.chars = 0
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has: none for None and ""."""
-        if max(len(self.tokens), len(self.pieces)) > REMEMBERED:
+        if max(len(self.tokens), len(self.pieces)) > REMEMBERED or self.chars > REMEMBERED_CHARS:
             self._forget()
         number, had, had_tokens = self.pieces.__getitem__, len(self.pieces), len(self.tokens)
         per_text = []
@@ -246,7 +248,9 @@ class Encoder:
                 per_text.append([*([number(first)] if first else []), *map(number, [" " + p for p in rest])])
         if len(self.pieces) > had:
             token, split = self.tokens.__getitem__, self.split
-            inside = [list(map(token, split(p))) for p in list(self.pieces)[had:]]
+            fresh = list(self.pieces)[had:]
+            inside = [list(map(token, split(p))) for p in fresh]
+            self.chars += sum(map(len, fresh)) + sum(map(len, list(self.tokens)[had_tokens:]))
             new = [w.encode("utf-8", "surrogatepass") for w in list(self.tokens)[had_tokens:]]
             if new:
                 self.token_ids.append(*merge_all(new, self.table))

@@ -55,7 +55,7 @@ _TO_LATIN = {ord(p[0]): p[1] for p in LOOK_ALIKE.split()}
 _TO_CYRILLIC = {ord(p[1]): p[0] for p in LOOK_ALIKE.split() if _CYRILLIC.match(p[0])}
 _OWN_CYRILLIC = regex.compile("[" + "".join(c for c in map(chr, range(0x430, 0x450)) if ord(c) not in _TO_LATIN) + "ёъыэ]")
 _IDEOGRAPH = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー々]")
-
+_CLUSTER = regex.compile(r"\X", regex.DOTALL)
 
 
 class Names:
@@ -84,8 +84,17 @@ def _one_script(word: str) -> str:
     return word
 
 
-def words(text: str | None, names: Names | None = None) -> tuple[list[str], list[bool]]:
-    """The words of a text's running text, lower case, and whether a clause ends before each."""
+def _origin(text: str, s: str) -> list[tuple[int, int]]:
+    """For each character of the normalized text ``s`` the stretch of ``text`` that it comes from."""
+    out = []
+    for m in _CLUSTER.finditer(text):
+        out += [m.span()] * len(unicodedata.normalize("NFKC", _INVISIBLE.sub("", m[0])))
+    out += [(len(text), len(text))] * (len(s) - len(out))
+    return out
+
+
+def words(text: str | None, names: Names | None = None, spans: list[tuple[int, int]] | None = None) -> tuple[list[str], list[bool]]:
+    """The words of a text's running text, lower case, and whether a clause ends before each; where each stands in the text is added to ``spans`` if given."""
     if not text:
         return [], []
     s = text
@@ -95,7 +104,11 @@ def words(text: str | None, names: Names | None = None) -> tuple[list[str], list
             s = regex.sub(r"[\p{Latin}\p{Cyrillic}\p{Greek}\p{Mn}]+", lambda m: _one_script(m[0]), s)
     out, ends, end = [], [], False
     single, pairs, runs = (names.single, names.pairs, names.runs) if names is not None else ((), (), None)
-    for w in _TOKEN.findall(s):
+    found = _TOKEN.findall(s)
+    if spans is not None:
+        origin = None if s is text else _origin(text, s)
+        places = [m.span() if origin is None else (origin[m.start()][0], origin[m.end() - 1][1]) for m in _TOKEN.finditer(s)]
+    for i, w in enumerate(found):
         if w in _END:
             end = True
             continue
@@ -116,8 +129,12 @@ def words(text: str | None, names: Names | None = None) -> tuple[list[str], list
         if out and not end and (out[-1], w) in pairs:
             end = ends.pop() or end
             out.pop()
+            if spans is not None:
+                spans.pop()
             continue
         out.append(w)
+        if spans is not None:
+            spans.append(places[i])
         ends.append(end)
         end = False
     return out, ends
@@ -149,6 +166,8 @@ class Model:
 
     langs: list[str]
     table: np.ndarray
+    #: what log likelihoods are divided by for a confidence, since the n-grams of a word are not independent; see ``tempered``
+    temper: float = 9.0
 
     def scores(self, distinct: list[str]) -> np.ndarray:
         """Log likelihood of each word, a row per word and a column per language."""
@@ -224,27 +243,52 @@ def segments(model: Model, texts: list[tuple[list[str], list[bool]]]) -> tuple[l
     return [p.tolist() for p in np.split(path, cuts)], ids, table
 
 
+def _confidence(model: Model, total: np.ndarray, x: int) -> float:
+    total = total / model.temper
+    return float(1.0 / np.exp(np.minimum(total - total[x], 50.0)).sum())
+
+
+def tempered(model: Model, texts: list[tuple[list[str], list[bool]]], labels: list[str], wrong: float = 0.05) -> float:
+    """The temper under which held-out labels are least surprising, when a share ``wrong`` of them is taken to say anything at all."""
+    of = {x: i for i, x in enumerate(model.langs)}
+    got, rows, table = segments(model, texts)
+    known = [(table[r].sum(axis=0), of[lang]) for r, p, lang in zip(rows, got, labels) if lang in of and len(set(p)) == 1]  # in one language
+    if not known:
+        return model.temper
+    totals, true = np.array([t for t, _ in known], np.float64), np.array([x for _, x in known])
+
+    def surprise(temper: float) -> float:
+        t = totals / temper
+        p = np.exp(t - t.max(axis=1, keepdims=True))
+        p = p[np.arange(len(true)), true] / p.sum(axis=1)
+        return float(-np.log((1 - wrong) * p + wrong / len(model.langs)).mean())
+
+    return min((1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 9.0, 13.0, 20.0, 30.0), key=surprise)
+
+
 def _parts(model: Model, ws: list[str], path: list[int], rows: list[int], table: np.ndarray) -> list[tuple[str, float, int]]:
     """(language, confidence, letters) of each segment long enough to count, neighbours of one language joined."""
     out: list[list] = []
+    for x, a, b, letters, counts in _stretches(ws, path):
+        if counts:
+            if out and out[-1][0] == x:
+                out[-1][1] += rows[a:b]
+                out[-1][2] += letters
+            else:
+                out.append([x, rows[a:b], letters])
+    return [(model.langs[x], _confidence(model, table[part].sum(axis=0), x), letters) for x, part, letters in out]
+
+
+def _stretches(ws: list[str], path: list[int]) -> Iterator[tuple[int, int, int, int, bool]]:
+    """(language, first word, behind the last word, letters, whether it counts) of each stretch of words in one language."""
     a = 0
     while a < len(ws):
         x, b = path[a], a + 1
         while b < len(ws) and path[b] == x:
             b += 1
         letters = sum(map(len, ws[a:b]))
-        if letters >= LEAST_LETTERS or letters >= LEAST_IDEOGRAPHS and _IDEOGRAPH.match(ws[a]):
-            if out and out[-1][0] == x:
-                out[-1][1] += rows[a:b]
-                out[-1][2] += letters
-            else:
-                out.append([x, rows[a:b], letters])
+        yield x, a, b, letters, bool(letters >= LEAST_LETTERS or letters >= LEAST_IDEOGRAPHS and _IDEOGRAPH.match(ws[a]))
         a = b
-    done = []
-    for x, part, letters in out:
-        total = table[part].sum(axis=0) / (3.0 * len(ORDERS))  # n-grams of one word are not independent
-        done.append((model.langs[x], float(1.0 / np.exp(np.minimum(total - total[x], 50.0)).sum()), letters))
-    return done
 
 
 def label_code(label: str | Column) -> Column:
@@ -254,17 +298,30 @@ def label_code(label: str | Column) -> Column:
     return F.try_element_at(known, raw)
 
 
-def fit_on(messages: DataFrame, labels: DataFrame, names: Names | None, sample: int = SAMPLE) -> Model:
-    """The model of a sample of labelled rows: of each language about ``sample``, the ids of lowest hash, whatever the size of the table."""
+def _highest(sample: int, n: int) -> int:
+    """The 64-bit hash up to which ``sample`` of ``n`` rows are to be expected: the share is exact at any size."""
+    return -(2**63) + min(2**64 - 1, sample * 2**64 // n)
+
+
+def fit_on(messages: DataFrame, labels: DataFrame, names: Names | None, sample: int = SAMPLE, calibrate: bool = False) -> Model:
+    """The model of a sample of labelled rows: of each language about ``sample``, the ids of lowest hash, whatever the size of the table.
+
+    To ``calibrate`` its confidences a fifth of the sample is held out of a second fit and judged by it.
+    """
     coded = labels.select(F.col("msg_id").alias("id"), label_code("lang").alias("code")).where("code is not null and id is not null")
     n = {r["code"]: r["n"] for r in coded.groupBy("code").agg(F.count("*").alias("n")).collect()}  # a row for each language
     if not n:
         return Model(["und"], np.zeros((BUCKETS, 1), np.float32))
-    share = F.create_map(*[F.lit(x) for code, k in n.items() for x in (code, min(1.0, sample / k))])
-    picked = coded.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < F.element_at(share, F.col("code")) * 1_000_003)
+    picked = coded.where(F.xxhash64("id") <= F.element_at(F.create_map(*[F.lit(x) for code, k in n.items() for x in (code, _highest(sample, k))]), F.col("code")))
     rows = messages.select("id", "text").join(F.broadcast(picked), "id").where("text is not null").select("id", "text", "code").distinct().collect()  # about SAMPLE rows a language
     rows.sort(key=lambda r: (r["id"], r["code"], r["text"]))
-    return fit([words(r["text"], names) for r in rows], [r["code"] for r in rows])
+    texts, codes = [words(r["text"], names) for r in rows], [r["code"] for r in rows]
+    model = fit(texts, codes)
+    if calibrate and len(rows) >= 50:
+        part = [i for i in range(len(rows)) if i % 5]
+        trial = fit([texts[i] for i in part], [codes[i] for i in part])
+        model.temper = tempered(trial, texts[::5], codes[::5])
+    return model
 
 
 def message_languages(messages: DataFrame, model: Model, names: Names | None, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -296,6 +353,34 @@ def message_languages(messages: DataFrame, model: Model, names: Names | None, id
     return spread(rows).mapInPandas(run, "msg_id long, segment int, lang string, confidence double, letters int, running int")
 
 
+def message_segments(messages: DataFrame, model: Model, names: Names | None, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """(msg_id, segment, lang, confidence, letters, counts, start_pos, end_pos): every stretch of a message in one language, short ones too.
+
+    Positions count the text's code points from 0; ``counts`` says whether the stretch is as long as
+    a clause.  A message without a word (null, empty, symbols only) has one row of nulls, letters 0.
+    Null ids are left out; repeated rows are repeated.
+    """
+    held = messages.sparkSession.sparkContext.broadcast((model, names))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m, own = held.value
+        for b in batches:
+            spans = [[] for _ in b["text"]]
+            texts = [words(t, own, at) for t, at in zip(b["text"], spans)]
+            paths, rows_of, scores = segments(m, texts)
+            out = []
+            for i, (ws, _), p, r, at in zip(b["id"].tolist(), texts, paths, rows_of, spans):
+                for k, (x, a, z, letters, counts) in enumerate(_stretches(ws, p)):
+                    out.append((i, k, m.langs[x], _confidence(m, scores[r[a:z]].sum(axis=0), x), letters, counts, at[a][0], at[z - 1][1]))
+                if not ws:
+                    out.append((i, None, None, None, 0, None, None, None))
+            f = pd.DataFrame(out, columns=["msg_id", "segment", "lang", "confidence", "letters", "counts", "start_pos", "end_pos"])
+            yield f.astype({"segment": "Int32", "start_pos": "Int32", "end_pos": "Int32", "counts": "boolean"})
+
+    rows = messages.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null")
+    return spread(rows).mapInPandas(run, "msg_id long, segment int, lang string, confidence double, letters int, counts boolean, start_pos int, end_pos int")
+
+
 def vocabulary_names(vocab: DataFrame, bound: int = 100_000) -> Names:
     """The dictionary's aliases and names, which must be ``bound`` at most: it is sent to all tasks."""
     rows = vocab.select("alias", "name").limit(bound + 1).collect()

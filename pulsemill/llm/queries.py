@@ -35,7 +35,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return looks.with_form(table(spark, sf_dir, "normalized_messages").select("id", "text"))
+    """Each message's consistent form, and that under full case folding."""
+    return looks.with_form(looks.with_form(table(spark, sf_dir, "normalized_messages").select("id", "text")), out_col="folded", fold_case=True)
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return looks.look_alike_classes(table(spark, sf_dir, "normalized_messages"))
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,15 +58,15 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     messages = table(spark, sf_dir, "normalized_messages")
     names = language.vocabulary_names(table(spark, sf_dir, "vocab"))
-    model = language.fit_on(messages, table(spark, sf_dir, "message_labels"), names)
-    return language.message_languages(messages, model, names)
+    model = language.fit_on(messages, table(spark, sf_dir, "message_labels"), names, calibrate=True)
+    return language.message_segments(messages, model, names)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p1_found": p1_found, "p1_segments": p1_segments, "p9_found": p9_found, "p3_found": p3_found, "p3_scores": p3_scores, "p5_found": p5_found, "p5_forms": p5_forms, "p6_found": p6_found, "p8_ids": p8_ids, "p7_found": p7_found, "p7_classes": p7_classes}
+QUERIES = {"p10_found": p10_found, "p1_found": p1_found, "p1_segments": p1_segments, "p9_found": p9_found, "p3_found": p3_found, "p3_scores": p3_scores, "p5_found": p5_found, "p5_forms": p5_forms, "p5_classes": p5_classes, "p6_found": p6_found, "p8_ids": p8_ids, "p7_found": p7_found, "p7_classes": p7_classes}
 _PAIRS = """
 with m as (select distinct msg_id, entity from entity_mentions where msg_id is not null and entity is not null),
 e as (select entity, count(*) k from m group by entity), t as (select count(distinct msg_id) n from m),

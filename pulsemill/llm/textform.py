@@ -20,7 +20,7 @@ DEFAULT_IGNORABLE = (
     (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
 
-# Letters of other scripts drawn like a Latin letter, each with that letter.
+# Letters of other scripts drawn like a Latin letter, each with that letter (a choice from Unicode's table of confusables, UTS 39).
 LOOK_ALIKE = (
     # Cyrillic, lower case
     "аa еe оo рp сc уy хx іi јj ѕs һh ԁd ԛq ԝw ӏl "
@@ -30,19 +30,32 @@ LOOK_ALIKE = (
     "αa ιi κk νv οo ρp υu ϲc ϳj "
     # Greek, upper case
     "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX "
-    # Armenian and Coptic
-    "օo ոn ѵv"
-)
+    # Armenian
+    "օo ոn հh սu ցg զq յj ՕO ՍU ՏS "
+    # Cyrillic izhitsa; Latin letters of phonetics
+    "ѵv ɑa ɡg "
+    # Coptic
+    "ⲟo ⲣp ⲥc ⲂB ⲎH ⲒI ⲔK ⲘM ⲚN ⲞO ⲢP ⲤC ⲦT ⲨY ⲬX "
+    # Cherokee
+    "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ "
+    # Lisu
+    "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU"
+)
 
 _FROM_TO = {ord(p[0]): p[1] for p in LOOK_ALIKE.split()}
 _INVISIBLE = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in DEFAULT_IGNORABLE) + "]")
 _SPACE = re.compile(r"[^\S ]")
-_LOOKS = re.compile("[" + "".join(map(chr, _FROM_TO)) + "]")
+# the letters themselves, and every composed letter that has one of them as its base
+_LOOKS = re.compile(
+    "[" + "".join(map(chr, _FROM_TO)) + "".join(c for c in map(chr, range(0xC0, 0x2000)) if len(d := unicodedata.normalize("NFD", c)) > 1 and ord(d[0]) in _FROM_TO) + "]"
+)
 
 
 def consistent(text: str | None) -> str | None:
     """The consistent form of one text; None stays None, white space at either end goes.
 
+    What becomes of a letter does not depend on the text around it, but for the marks it carries.
+
     >>> consistent("Ｂ\\u00adТC\\u00a0up ﬁrst")
     'BTC up first'
     """
@@ -51,7 +64,7 @@ def consistent(text: str | None) -> str | None:
     if text.isascii():
         return _SPACE.sub(" ", text).strip()
     s = unicodedata.normalize("NFKC", _INVISIBLE.sub("", text))
-    if _LOOKS.search(s) or "ё" in s or "Ё" in s or "ї" in s or "Ї" in s:
+    if _LOOKS.search(s):
         s = unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(_FROM_TO))
     return _SPACE.sub(" ", _INVISIBLE.sub("", s)).strip()
 

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: items of one block; a basket of up to so many items is one task's work
 BLOCK = 64
+#: share of all rows from which on an item's rows are not brought together
+HOT = 0.001
 
 
 def pair_counts(rows: DataFrame, basket: str = "msg_id", item: str = "entity", least: int = 1, block: int = BLOCK) -> DataFrame:
@@ -24,7 +26,7 @@ def pair_counts(rows: DataFrame, basket: str = "msg_id", item: str = "entity", l
     held = rows.select(F.col(basket).alias("b"), F.col(item).alias("i")).where("b is not null and i is not null").distinct()
     n_of = held.groupBy("i").agg(F.count("*").alias("n"))
     total = held.agg(F.count_distinct("b").alias("n"))
-    kept = held.join(n_of.where(F.col("n") >= least).select("i"), "i", "left_semi") if least > 1 else held
+    kept = _frequent(held, n_of, least) if least > 1 else held
     # blocks by a hash into as many as the basket's size asks for
     sizes = kept.groupBy("b").agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     placed = kept.join(sizes, "b").withColumn("k", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int"))
@@ -43,6 +45,14 @@ def pair_counts(rows: DataFrame, basket: str = "msg_id", item: str = "entity", l
     return counted.join(na, "item_a").join(nb, "item_b").withColumn("n", total.scalar()).select("item_a", "item_b", "c", "n_a", "n_b", "n")
 
 
+def _frequent(held: DataFrame, n_of: DataFrame, least: int) -> DataFrame:
+    """Rows of items in ``least`` baskets or more.  Items with a HOT share of all rows or more, of which there can be no more than 1 / HOT, are broadcast, so that none of them is one task's rows; the others meet by item."""
+    share = n_of.agg((F.sum("n") * HOT).alias("s"))
+    hot = n_of.where((F.col("n") >= least) & (F.col("n") >= share.scalar())).select("i")
+    rest = n_of.where((F.col("n") >= least) & (F.col("n") < share.scalar())).select("i")
+    return held.join(F.broadcast(hot), "i", "left_semi").unionByName(held.join(F.broadcast(n_of.where(F.col("n") >= share.scalar()).select("i")), "i", "left_anti").join(rest, "i", "left_semi"))
+
+
 def scored(counts: DataFrame) -> DataFrame:
     """``pair_counts`` with lift (c * n / (n_a * n_b)), pmi (its natural log), npmi and Jaccard."""
     lift = F.col("c") * F.col("n") / (F.col("n_a").cast("double") * F.col("n_b"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import itertools
 import random
+import time
+import unicodedata
 
 import numpy as np
 import pandas as pd
@@ -45,6 +47,23 @@ def test_look_alike_pairs(spark):
     assert forms.columns == ["id", "text", "h", "form"] and {r["form"] for r in forms.collect()} == {"buy now", None, ""}
 
 
+def test_the_form_of_a_letter_does_not_depend_on_its_neighbours():
+    letters = [c for c in map(chr, range(0xC0, 0x2000)) if c.isalpha() and unicodedata.category(c) != "Mn"]
+    r = random.Random(2)
+    for c in ["ό", "ӓ", "ќ", "ѐ", "ё", "й", *r.sample(letters, 400)]:
+        if unicodedata.normalize("NFD", c)[0] < "ᄀ" or c > "ᇿ":  # conjoining jamo do join
+            for d in ("α", "а", "x", "é"):
+                assert consistent(c + d) == consistent(c) + consistent(d), (c, d)
+    assert consistent("ΌRΕ") == consistent("ÓRE") and consistent("ꓐꓔꓚ Ꮯօⲟ") == "BTC Coo"
+
+
+def test_look_alike_classes(spark):
+    rows = [(1, "Buy now"), (2, "Вuy\u00a0now"), (3, "buy now"), (4, "Buy now"), (5, None), (None, "Buy now"), (6, ""), (4, "Buy now")]
+    got = {tuple(r) for r in looks.look_alike_classes(spark.createDataFrame(_clash(rows), TEXTS)).collect()}
+    assert got == {(1, 1, 2), (2, 1, 2), (4, 1, 2), (3, 3, 1), (6, 6, 1)}
+    assert looks.look_alike_classes(spark.createDataFrame([], TEXTS)).count() == 0
+
+
 # 7 and 6: near duplicates
 
 
@@ -194,6 +213,13 @@ def test_unprocessed_records_join_the_index(spark, tmp_path):
 BASKETS = "msg_id long, entity string, b string, i string"
 
 
+def test_items_with_most_of_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(together, "HOT", 0.2)
+    rows = [(i, "hot") for i in range(60)] + [(i, f"x{i % 7}") for i in range(50)] + [(0, "once")]
+    got = {tuple(r)[:3] for r in together.pair_counts(spark.createDataFrame(rows, "msg_id long, entity string"), least=2).collect()}
+    assert got == {("hot", f"x{k}", len(range(k, 50, 7))) for k in range(7)}
+
+
 @pytest.mark.parametrize(("block", "least"), [(64, 1), (3, 1), (3, 4)])
 def test_pair_counts(spark, block, least):
     r = random.Random(8)
@@ -235,6 +261,16 @@ def test_rank_queue_gives_the_lowest_first():
     assert got == sorted(set(put))
 
 
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED_CHARS", 5000)
+    with open(bpe.TOKENIZER, "rb") as f:
+        encoder = bpe.Encoder(f.read())
+    texts = [f"wide   gap {i} " * 50 for i in range(20)]
+    one = [encoder.encode([t])[0].tolist() for t in texts]
+    assert encoder.chars <= 5000 + 2 * 50 * 20
+    assert one == [encoder.encode([t])[0].tolist() for t in texts]
+
+
 def test_ids_equal_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     r = random.Random(6)
@@ -296,9 +332,54 @@ def test_leaks_equal_brute_force(spark):
     assert leaks.leaks(corpus.limit(0), bench).count() == 0 and leaks.leaks(corpus, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_text_that_repeats_itself():
+    r = random.Random(4)
+    words = ["ha", "haha", "no"]
+    for lang in ("en", "zh"):
+        items = [" ".join(r.choice(words) for _ in range(40)) for _ in range(4)]
+        docs = [" ".join(r.choice(words) for _ in range(60)) + " " + items[r.randrange(4)][r.randrange(60) :] for _ in range(40)]
+        want = set()
+        run = 16 if lang == "zh" else 8
+        for i, t in enumerate(items):
+            u = leaks.units(t, lang == "zh")
+            for d, form in enumerate(map(key_form, docs)):
+                held = [False] * len(u)
+                for a in range(len(u) - run + 1):
+                    if "".join(u[a : a + run]) in form:
+                        held[a : a + run] = [True] * run
+                if sum(held) >= 0.4 * len(u):
+                    want.add((d, i))
+        assert want and set(leaks.search(leaks.prepare(list(range(4)), items, [lang] * 4), list(map(key_form, docs)))) == want
+    began = time.time()
+    assert leaks.search(leaks.prepare([0], ["a" * 600], ["zh"]), ["a" * 600_000]) == [(0, 0)]
+    assert time.time() - began < 60
+
+
+def test_long_items_are_blocks_of_their_own(spark):
+    items = spark.createDataFrame([(i, "x" * n) for i, n in enumerate((5000, 700, 400, 20, 20, 20))], "item_id long, text string")
+    parts = [sorted(r["item_id"] for r in p.collect()) for p in leaks._blocks(items, 1000)]
+    assert parts[0] == [0] and sorted(x for p in parts for x in p) == list(range(6)) and [1] in parts or [1, 2] in parts
+
+
 # 1: languages
 
 
+def test_the_sample_is_bounded_at_any_size():
+    for n in (1, 699, 700, 701, 10**6, 10**13):
+        share = (language._highest(700, n) + 2**63) / 2**64
+        assert share * n <= 700.001 or n <= 700 and share <= 1
+
+
+def test_segments_can_be_found_again(spark):
+    model = language.Model(["de", "en"], np.zeros((language.BUCKETS, 2), np.float32))
+    texts = [("Ｈello wörld， the ﬁne day", 1), ("", 2), (None, 3), ("x", None), ("$BTC 42", 4)]
+    rows = spark.createDataFrame([(i, t, "clash") for t, i in texts], "id long, text string, lang string")
+    got = language.message_segments(rows, model, None).collect()
+    one = next(r for r in got if r["msg_id"] == 1)
+    assert texts[0][0][one["start_pos"] : one["end_pos"]] == texts[0][0] and one["counts"] and 0 < one["confidence"] <= 1
+    assert {r["msg_id"] for r in got if r["lang"] is None} == {2, 3, 4} and len(got) == 4
+
+
 def test_labels(spark):
     rows = [("zh-CN", "zh"), (" ZH ", "zh"), ("eng", "en"), ("pt_BR", "pt"), ("und", None), ("", None), (None, None), ("unknown", None), ("xx", None)]
     got = spark.createDataFrame(rows, "lang string, want string").select("want", language.label_code("lang").alias("got")).collect()
@@ -391,6 +472,13 @@ def test_transducer_chunks_do_not_matter():
             assert sentences.transduce(s, chunk).tolist() == want
 
 
+def test_long_documents_are_cut_at_blank_lines(spark):
+    text = "Hello there. And you.\n\n  \n- one\n- two (a. b) c.\n\n“Hi. You” said. 3.5 ok\n\n" * 30
+    rows = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "no blank line. " * 20, 0), (4, "", 0)], "doc_id long, text string, off int")
+    whole = sorted(map(tuple, sentences.sentences(rows).collect()))
+    assert sorted(map(tuple, sentences.sentences(rows, piece=70).collect())) == whole and len(whole) > 100
+
+
 def test_sentences_of_a_table(spark):
     long = "A sentence stands here. " * 40_000
     docs = spark.createDataFrame([(1, "Abc. Def.", 0), (2, None, 0), (3, "", 0), (None, "x", 0), (4, long, 0), (1, "Abc. Def.", 0)], "doc_id long, text string, end_pos int")
