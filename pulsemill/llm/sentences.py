@@ -25,11 +25,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..session import spread, tasks
 
 CHUNK = 256
 #: characters of documents handled at once
 RUN_CHARS = 2_000_000
+#: characters from which on a document is cut at blank lines and dealt out
+PIECE = 1_000_000
 
 # symbols
 TEXT, SPACE, LINE, STOP, LEAD, TAIL, GAP, START = range(8)
@@ -87,14 +89,19 @@ def transduce(symbols: np.ndarray, chunk: int = CHUNK) -> np.ndarray:
     return marks.T.ravel()[:n]
 
 
-# Abbreviations whose full stop never ends a sentence, in lower case.
-JOINING = frozenset("dr prof mr mrs ms sra dra srta ts ths vs cf approx aprox ca yakl ок см e.g i.e z.b d.h u.a p.ej p.ex ej ex bkz örn bzw vgl т.е т.к т.н г-н डॉ पृ श्री".split())
+# Abbreviations whose full stop never ends a sentence, in lower case (here and below after Unicode's CLDR sentence-break suppressions and dictionaries' lists).
+JOINING = frozenset(
+    "dr prof mr mrs ms sra dra srta ts ths vs cf approx aprox ca yakl ок см e.g i.e z.b d.h u.a p.ej p.ex ex bkz örn bzw vgl т.е т.к т.н г-н डॉ पृ श्री "
+    "messrs mme mlle mgr inż dott avv dipl ing lic arq sig sigg exmo exma ilmo evtl ggf inkl exkl zzgl sog bspw tzn tzw np m.in wg viz напр".split()
+)
 # Those that are titles only with a capital, and those that need a number behind them.
-TITLES = frozenset("sr jr hr fr gs gen gov sen rep lt col sgt rev hon др проф st".split())
-NUMBERED = frozenset("no nr nº núm fig figs рис стр табл p pp pág págs pag tr vol art".split())
+TITLES = frozenset("sr jr hr fr gs gen gov sen rep lt col sgt rev hon др проф st capt cpt cmdr adm maj brig pres supt insp atty cpl pvt geom rag on ks płk kol акад доц".split())
+NUMBERED = frozenset(
+    "no nr nº núm fig figs рис стр табл p pp pág págs pag tr vol art sec secs ch chap eq eqs para abs bd kap abb abschn anm art cap sez rys tab ust poz num n гл разд п пп ver vers fasc bl hal".split()
+)
 # Abbreviations that may stand at a sentence's end.
 ENDING = frozenset(
-    "u.s u.k u.n e.u a.m p.m etc inc ltd co corp llc jr al st ave rd jan feb mar apr jun jul aug sep sept oct nov dec usw v.b v.v vb тыс млн млрд т.д т.п г гг руб д п".split()
+    "u.s u.k u.n e.u a.m p.m etc inc ltd co corp llc jr al st ave rd jan feb mar apr jun jul aug sep sept oct nov dec usw v.b v.v vb тыс млн млрд т.д т.п г гг руб д п ecc".split()
 )
 # German month names after an ordinal number.
 MONTHS = frozenset("Januar Jänner Februar März April Mai Juni Juli August September Oktober November Dezember".split())
@@ -305,16 +312,28 @@ def spans(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return text, starts - begin[text] - 1, ends - begin[text] - 1
 
 
-def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(text: str, least: int) -> list[tuple[int, str]]:
+    """(offset, part) of a text, cut at blank lines, where every sentence ends, into parts of ``least`` characters or more."""
+    out, at = [], 0
+    for m in _PARAGRAPH.finditer(text):
+        if m.end() - at >= least:
+            out.append((at, text[at : m.end()]))
+            at = m.end()
+    return [*out, (at, text[at:])] if at < len(text) or not out else out
+
+
+def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece: int = PIECE) -> DataFrame:
     """(id_col, start_pos, end_pos): one row for each sentence; start_pos is its first character that is not white space, end_pos one past its last.
 
     Null, empty and blank texts, and paragraphs of nothing visible, give no rows; a repeated row
-    gives its sentences again; a null id stays null; other columns are not read.
+    gives its sentences again; a null id stays null; other columns are not read.  A text of more
+    than ``piece`` characters is cut at blank lines into pieces that are dealt out to the tasks.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids, texts = b["id"].to_numpy(), b["text"].tolist()
+            ids, texts, offsets = b["id"].to_numpy(), b["text"].tolist(), b["off"].to_numpy()
             at = 0
             while at < len(texts):
                 to, size = at, 0
@@ -322,8 +341,17 @@ def sentences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     size += len(texts[to] or "")
                     to += 1
                 k, start, end = spans(texts[at:to])
-                yield pd.DataFrame({id_col: ids[at:to][k], "start_pos": start.astype(np.int32), "end_pos": end.astype(np.int32)})
+                yield pd.DataFrame({id_col: ids[at:to][k], "start_pos": (start + offsets[at:to][k]).astype(np.int32), "end_pos": (end + offsets[at:to][k]).astype(np.int32)})
                 at = to
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return spread(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))).mapInPandas(run, f"`{id_col}` {kind}, start_pos int, end_pos int")
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, t in zip(b["id"], b["text"]):
+                for off, part in pieces(t, piece):
+                    yield pd.DataFrame({"id": pd.Series([i], dtype=b["id"].dtype), "text": [part], "off": [off]})
+
+    out = f"`{id_col}` {kind}, start_pos int, end_pos int"
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    usual = spread(rows.where(F.length("text") <= piece).withColumn("off", F.lit(0))).mapInPandas(run, out)
+    long = rows.where(F.length("text") > piece).mapInPandas(cut_up, f"id {kind}, text string, off int")
+    return usual.unionByName(long.repartition(tasks(docs.sparkSession), "id", "off").mapInPandas(run, out))
