@@ -121,13 +121,31 @@ def text_hash(key: str) -> int:
     return xxhash.xxh3_64_intdigest(key.encode("utf-8", "surrogatepass")) - 2**63
 
 
-def alike(a: str, b: str, least: float = SIMILAR) -> bool:
-    """Exact check: Jaccard similarity of the distinct stretches of two key forms."""
-    if a == b:
-        return True
-    x = {a[i : i + STRETCH] for i in range(len(a) - STRETCH + 1)}
-    y = {b[i : i + STRETCH] for i in range(len(b) - STRETCH + 1)}
+def stretches(key: str) -> set[str]:
+    """The distinct stretches of a key form."""
+    return {key[i : i + STRETCH] for i in range(len(key) - STRETCH + 1)}
+
+
+def near(x: set[str], y: set[str], least: float = SIMILAR) -> bool:
+    """Exact check: Jaccard similarity of two sets of stretches."""
     if not x or not y or min(len(x), len(y)) < least * max(len(x), len(y)):
         return False
     both = len(x & y)
     return both >= least * (len(x) + len(y) - both)
+
+
+def alike(a: str, b: str, least: float = SIMILAR) -> bool:
+    """``near`` of two key forms; equal ones are, however short."""
+    return a == b or near(stretches(a), stretches(b), least)
+
+
+def alike_each(left: list[str], right: list[str], least: float = SIMILAR) -> list[bool]:
+    """``alike`` of each two of the lists; the stretches of a form that comes again are made once."""
+    made: dict[str, set[str]] = {}
+
+    def of(form: str) -> set[str]:
+        if form not in made:
+            made[form] = stretches(form)
+        return made[form]
+
+    return [a == b or near(of(a), of(b), least) for a, b in zip(left, right)]

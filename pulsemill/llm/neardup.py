@@ -217,7 +217,7 @@ def verified(links: DataFrame, texts: DataFrame, least: float = mh.SIMILAR, form
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             forms = {t: t if formed else key_form(t) for t in {*b["ta"], *b["tb"]}}
-            yield b.loc[[mh.alike(forms[x], forms[y], least) for x, y in zip(b["ta"], b["tb"])], ["a", "b"]]
+            yield b.loc[mh.alike_each([forms[t] for t in b["ta"]], [forms[t] for t in b["tb"]], least), ["a", "b"]]
 
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
