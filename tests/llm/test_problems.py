@@ -13,6 +13,7 @@ import pytest
 
 from pulsemill.llm import bpe, incremental, language, leaks, looks, minhash, neardup, sentences, together
 from pulsemill.llm.bktree import Forest
+from pulsemill.llm.machine import Machine
 from pulsemill.llm.textform import consistent, folded, key_form
 from pulsemill.sources.tables import table
 
@@ -169,7 +170,7 @@ def test_batches_against_the_index(spark, tmp_path):
                 numbers.setdefault(row["key"], []).append(row["chunk"])
             assert numbers and all(sorted(v) == list(range(1, len(v) + 1)) for v in numbers.values())
             assert {r["key"]: r["n"] for r in index._heat().collect()} == {k: len(v) for k, v in numbers.items()}
-        plan = index.probe(incremental._classes(incremental.printed(frame(new))))._jdf.queryExecution().toString()
+        plan = index.probe(incremental._signed(incremental._classes(incremental.printed(frame(new))), index.scheme))._jdf.queryExecution().toString()
         assert "Bucketed: true" in plan and "slot" in plan
 
 
@@ -466,12 +467,37 @@ def test_transducer_chunks_do_not_matter():
         s = r.integers(0, 8, n).astype(np.uint8)
         state, want = sentences.BETWEEN, []
         for x in s:
-            want.append(sentences.OUT[x, state])
-            state = sentences.TO[x, state]
+            want.append(int(state in sentences._BEGINS.get(int(x), ())))
+            state = sentences._NEXT[int(x)][state]
         for chunk in (1, 3, 256):
             assert sentences.transduce(s, chunk).tolist() == want
 
 
+def test_machines_in_chunks_equal_one_walk(monkeypatch):
+    r = np.random.default_rng(1)
+    for states in (5, 60):
+        to = r.integers(0, states, (states, 6))
+        to[:, 0] = 3  # a symbol that resets
+        m = Machine(0, 6, lambda state, symbol, to=to: int(to[state, symbol]))
+        for n, share in ((0, 0.5), (1, 0.5), (700, 0.2), (700, 0.001), (5000, 0.0)):
+            s = np.where(r.random(n) < share, 0, r.integers(1, 6, n))
+            for backward in (False, True):
+                state, want = 0, []
+                for x in s[::-1] if backward else s:
+                    want.append(state := int(to[state, x]))
+                for chunk in (7, 256):
+                    got = [m.states[i] for i in m.run(s, backward, chunk)]
+                    assert got == (want[::-1] if backward else want)
+    # the rules on any text, however it is cut
+    signs = "aB.c 1.,!?…。”“\"'()[]«»\n -Dr. Prof. e.g. 3. März「」ก　\n\n"
+    texts = ["".join(signs[i] for i in r.integers(0, len(signs), 400)) for _ in range(20)]
+    whole = [x.tolist() for x in sentences.spans(texts)]
+    monkeypatch.setattr(Machine.run, "__defaults__", (False, 5))
+    assert [x.tolist() for x in sentences.spans(texts)] == whole
+    each = [(k, a, b) for k, x in enumerate(texts) for _, a, b in zip(*(y.tolist() for y in sentences.spans([x])))]
+    assert each == list(zip(*whole))
+
+
 def test_long_documents_are_cut_at_blank_lines(spark):
     text = "Hello there. And you.\n\n  \n- one\n- two (a. b) c.\n\n“Hi. You” said. 3.5 ok\n\n" * 30
     rows = spark.createDataFrame([(1, text, 0), (2, None, 0), (3, "no blank line. " * 20, 0), (4, "", 0)], "doc_id long, text string, off int")
