@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .hotness import WINDOWS, at
 
 # Windows that pairs may be counted over.
@@ -73,13 +74,16 @@ def pair_board(mentions: DataFrame, end: datetime.datetime, b: PairBoard) -> Dat
 
 
 def with_new(board: DataFrame, mentions: DataFrame, end: datetime.datetime, b: PairBoard, least: int = 3) -> DataFrame:
-    """``pair_board`` with is_new_pair: ``least`` messages in the window and none in the days before it."""
+    """``pair_board`` with is_new_pair: ``least`` messages in the window and none in the days before it.
+
+    The board's ``top_pairs`` rows are written once; only the earlier messages that have the first
+    entity of one of them are asked for the second.
+    """
     start = end - datetime.timedelta(hours=WINDOWS[b.window])
+    board = cut(board, "board")
     before = window_mentions(mentions, end - datetime.timedelta(days=b.baseline_days), start)
-    names = board.select(F.col("entity_a").alias("entity")).unionByName(board.select(F.col("entity_b").alias("entity"))).distinct()
-    before = before.join(names, "entity", "left_semi")
-    left, right = before.select("msg_id", F.col("entity").alias("entity_a")), before.select("msg_id", F.col("entity").alias("entity_b"))
-    known = left.join(right, "msg_id").where("entity_a < entity_b").select("entity_a", "entity_b").distinct().withColumn("known", F.lit(True))
+    wanted = board.select("entity_a", "entity_b").join(before.withColumnRenamed("entity", "entity_a"), "entity_a")
+    known = wanted.join(before.withColumnRenamed("entity", "entity_b"), ["msg_id", "entity_b"], "left_semi").select("entity_a", "entity_b").distinct().withColumn("known", F.lit(True))
     return board.join(known, ["entity_a", "entity_b"], "left").withColumn("is_new_pair", (F.col("cooccur_count") >= least) & F.col("known").isNull()).drop("known")
 
 

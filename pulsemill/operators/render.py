@@ -59,6 +59,12 @@ def evidence(messages: DataFrame, mentions: DataFrame, entity: str, n: int) -> D
     return messages.join(hit, "id", "left_semi").orderBy(F.desc("engagement"), "id").limit(n)
 
 
+def filled(path: str, **fields: object) -> str:
+    """A template file's text with its named fields filled in."""
+    with open(path, encoding="utf-8") as f:
+        return f.read().format(**fields)
+
+
 def hint(neighbors: DataFrame, most: int = 3) -> DataFrame:
     """One row, ``hint``: the strongest partners with their scores, or a word for none."""
     order = Window.orderBy(F.desc("pmi"), "other")  # over a handful of rows

@@ -141,6 +141,35 @@ _P = lambda a, b: f"format('{{:.1f}}', round({a} * 100.0 / {b}, 1))"  # noqa: E7
 register("diagnosis", diagnosis, f"""with a as (select (select count(*) from twitter_posts) + (select count(*) from binance_square_posts) + (select count(*) from discord_messages) raw),
 b as (select count(*) normalized, count(*) filter (where is_duplicate) duplicates from normalized_messages), c as (select count(distinct msg_id) hit, count(*) filter (where confidence = 1.0) dict, count(*) mentions from entity_mentions)
 select *, {_P('normalized', 'raw')} normalized_share, {_P('duplicates', 'normalized')} duplicate_share, {_P('hit', 'normalized')} hit_share, {_P('dict', 'mentions')} dict_share from a, b, c""")
+
+
+def diagnosis_flags(spark: SparkSession, d: str) -> DataFrame:
+    """What stands out in the funnel, as one row's list."""
+    share = lambda part, whole: F.col(part) / F.nullif(F.col(whole), F.lit(0))
+    flags = (
+        F.when(share("normalized", "raw") < 0.5, "few normalized"),
+        F.when(share("duplicates", "normalized") > 0.6, "many duplicates").when((F.col("normalized") > 100) & (share("duplicates", "normalized") < 0.05), "few duplicates"),
+        F.when(share("hit", "normalized") < 0.1, "hardly any hits").when(share("hit", "normalized") < 0.3, "few hits"),
+        F.when(share("dict", "mentions") < 0.3, "few by dictionary"),
+    )
+    return diagnosis(spark, d).select(F.array_compact(F.array(*flags)).alias("flags"))
+
+
+register("diagnosis_flags", diagnosis_flags, """with f as (select (select count(*) from twitter_posts) + (select count(*) from binance_square_posts) + (select count(*) from discord_messages) raw,
+(select count(*) from normalized_messages) n, (select count(*) from normalized_messages where is_duplicate) d, (select count(distinct msg_id) from entity_mentions) h,
+(select count(*) from entity_mentions where confidence = 1.0) x, (select count(*) from entity_mentions) m)
+select list_filter([case when n / raw < 0.5 then 'few normalized' end, case when d / n > 0.6 then 'many duplicates' when n > 100 and d / n < 0.05 then 'few duplicates' end,
+case when h / n < 0.1 then 'hardly any hits' when h / n < 0.3 then 'few hits' end, case when x / m < 0.3 then 'few by dictionary' end], lambda v: v is not null) flags from f""")
+
+
+def json_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Mentions written as JSON, their fields read by path and counted."""
+    j = mentions(spark, d).select(F.to_json(F.struct("entity", "entity_type", "confidence")).alias("j"))
+    at = lambda name: F.get_json_object("j", f"$.{name}").alias(name)
+    return j.select(at("entity"), at("entity_type"), at("confidence").cast("double").alias("confidence")).groupBy("entity", "entity_type", "confidence").agg(F.count("*").alias("n"))
+
+
+register("json_fields", json_fields, "select entity, entity_type, confidence, count(*) n from entity_mentions group by all")
 register(
     "latest_scalar_subquery",
     lambda spark, d: mentions(spark, d).where(F.to_date("ts") == mentions(spark, d).agg(F.max(F.to_date("ts"))).scalar()).groupBy("entity").agg(F.count("*").alias("n")),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import logging
+import logging.handlers
+import sys
 from collections.abc import Callable
 
 log = logging.getLogger("pulsemill.notify")
@@ -32,3 +34,17 @@ def to_all(sends: list[Send]) -> Send:
     """Sends to each of them, whatever the others do; true if one took it."""
     parts = [safe(s, 10**9) for s in sends]
     return lambda text: any([s(text) for s in parts])
+
+
+def log_to(path: str, days: int = 30, level: int = logging.INFO) -> list[logging.Handler]:
+    """Log lines of the package to the console and to a file that is begun anew each midnight (UTC) and kept for ``days``; calling it again replaces the handlers."""
+    root = logging.getLogger("pulsemill")
+    for handler in list(root.handlers):
+        root.removeHandler(handler)
+        handler.close()
+    handlers = [logging.StreamHandler(sys.stdout), logging.handlers.TimedRotatingFileHandler(path, when="midnight", backupCount=days, encoding="utf-8", utc=True)]
+    for handler in handlers:
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)-7s %(name)s: %(message)s"))
+        root.addHandler(handler)
+    root.setLevel(level)
+    return handlers

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsemill.operators import cooccurrence, cooldown, extract, ingest, late_events, normalize, render
-from pulsemill.sources import connectors
+from pulsemill.sources import connectors, notify
 from pulsemill.sources.keyed_table import KeyedTable
 from pulsemill.streaming import cooldown as cooling
 from pulsemill.streaming import dedup, late, worker
@@ -165,7 +165,7 @@ def test_quarter_gate_survives_a_restart(spark, tmp_path):
 
 def test_jdbc_round_trip(spark, tmp_path):
     try:
-        spark.sparkContext._jvm.java.lang.Class.forName("org.apache.derby.jdbc.AutoloadedDriver")
+        spark.sparkContext._jvm.java.lang.Class.forName("org.apache.derby.iapi.jdbc.AutoloadedDriver")
     except Exception:
         pytest.skip("no database driver")
     url = f"jdbc:derby:{tmp_path}/db;create=true"
@@ -174,6 +174,18 @@ def test_jdbc_round_trip(spark, tmp_path):
     assert rows.rdd.getNumPartitions() == 4 and rows.count() == 100 and rows.where("id >= 50").count() == 50
 
 
+def test_templates_and_log_files(tmp_path):
+    (tmp_path / "t.txt").write_text("{entity}：{n} 条", encoding="utf-8")
+    assert render.filled(str(tmp_path / "t.txt"), entity="BTC", n=2) == "BTC：2 条"
+    for _ in range(2):
+        handlers = notify.log_to(str(tmp_path / "log"))
+    notify.safe(lambda text: 1 / 0)("x")
+    assert len(handlers) == 2 and (tmp_path / "log").read_text().count("a message was not sent") == 1
+    for handler in handlers:
+        handler.close()
+        notify.logging.getLogger("pulsemill").removeHandler(handler)
+
+
 def test_every_query_runs(spark, small):
     import __spark_entry__ as entry
 
