@@ -2,16 +2,18 @@
 
 An ``AcceptedIndex`` is a folder that outlives the session that made it (``create``, ``open``):
 
-* forms: (h, rep, form), one row for each accepted key form by its hash, rep its smallest id;
-* bands: (key, h), the band keys of each form, no more than ``shard`` forms to a key;
-* hot: (key, chunk, h), what a key has beyond that, in chunks of ``shard`` that go on being
+* forms: (g, h, rep, s0, s1, form), one row for each accepted key form: g the upper 40 bits of its
+  hash h, rep its smallest id, s0 and s1 its sketch;
+* bands: (key, g), the band keys of each form, no more than ``shard`` forms to a key;
+* hot: (key, chunk, g), what a key has beyond that, in chunks of ``shard`` that go on being
   numbered over all appends; heat: (key, n), how many an append put there;
 * index.json: the layout, the number of the next append and of those that failed half-way.
 
 forms and bands lie in ``slots`` folders by the rest of their hash, and in each of them in files
 bucketed and sorted by it.  A probe reads the slots that the batch's keys fall in and shuffles the
-batch, never the index; the forms that share a band key with a record of the batch are fetched by
-hash in the same way, so the history's texts are not read at all.
+batch, never the index.  Of the forms that share a band key with a record of the batch first the
+sketches are fetched, in the same way by hash, then the forms of those that are near; the history's
+texts are not read at all.
 """
 
 from __future__ import annotations
@@ -25,25 +27,31 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, fresh_path, read_text, spread, tasks, write_text
+from ..session import cut, discard, fresh_path, read_text, spread, tasks, write_text
 from . import minhash as mh
-from .neardup import SHARD, candidate_links, verified
+from .neardup import SHARD, band_keys, candidate_links, verified
 from .textform import key_form
 
-_COLUMNS = {"forms": "h bigint, rep bigint, form string", "bands": "key bigint, h bigint", "hot": "key bigint, chunk int, h bigint", "heat": "key bigint, n bigint"}
-_BUCKETED = {"forms": "h", "bands": "key", "hot": "key, chunk"}
+_COLUMNS = {"forms": "g bigint, h bigint, rep bigint, s0 bigint, s1 bigint, form string", "bands": "key bigint, g bigint", "hot": "key bigint, chunk int, g bigint", "heat": "key bigint, n bigint"}
+_BUCKETED = {"forms": "g", "bands": "key", "hot": "key, chunk"}
+#: bits of a hash that band rows do without: what they confuse is told apart by the forms
+_SHORTER = 24
 _PACKED = "'compression' = 'zstd', 'parquet.writer.version' = 'PARQUET_2_0', 'parquet.enable.dictionary' = 'false'"  # sorted keys are stored as differences
 
 
-def printed(texts: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """(id, h, form) of every row with an id and a key form of LEAST_LETTERS or more; others are no cases."""
+def printed(texts: DataFrame, id_col: str = "id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """(id, h, form) of every row with an id and a key form of LEAST_LETTERS or more; others are no cases.
+
+    With ``distinct`` only the smallest id of each form of an Arrow batch is given: what the index keeps of it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             forms = [key_form(t) for t in b["text"]]
             keep = [i for i, k in enumerate(forms) if len(k) >= mh.LEAST_LETTERS]
             forms = [forms[i] for i in keep]
-            yield pd.DataFrame({"id": b["id"].to_numpy()[keep], "h": np.array([mh.text_hash(k) for k in forms], np.int64), "form": pd.Series(forms, dtype=object)})
+            out = pd.DataFrame({"id": b["id"].to_numpy()[keep], "h": np.array([mh.text_hash(k) for k in forms], np.int64), "form": pd.Series(forms, dtype=object)})
+            yield out.sort_values("id", kind="stable").drop_duplicates("h") if distinct else out
 
     rows = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     return spread(rows).mapInPandas(run, "id long, h long, form string")
@@ -54,26 +62,18 @@ def _classes(prints: DataFrame) -> DataFrame:
     return prints.groupBy("h").agg(F.min(F.struct("id", "form")).alias("m")).select("h", F.col("m.id").alias("rep"), F.col("m.form").alias("form"))
 
 
-def _blobs(own: DataFrame, name: str, scheme: mh.Scheme) -> DataFrame:
-    """(name, blob) of (h, rep, form); ``name`` is h or rep."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({name: b[name], "blob": mh.blobs(b["form"].tolist(), scheme)})
-
-    return own.select(name, "form").mapInPandas(run, f"{name} long, blob binary")
-
-
-def _keys(own: DataFrame, scheme: mh.Scheme) -> DataFrame:
-    """(key, h): a row for each form and band."""
+def _signed(own: DataFrame, scheme: mh.Scheme) -> DataFrame:
+    """(g, h, rep, s0, s1, form, keys) of (h, rep, form): the sketch, and the band keys packed."""
+    head = mh.SIZE // 8
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if len(b):
-                _, keys = mh.unpack(mh.blobs(b["form"].tolist(), scheme), scheme)
-                yield pd.DataFrame({"key": keys.ravel(), "h": np.repeat(b["h"].to_numpy(), scheme.bands)})
+                blobs = mh.blobs(b["form"].tolist(), scheme)
+                words = np.frombuffer(b"".join(x[:head] for x in blobs), "<i8").reshape(-1, 2)
+                yield pd.DataFrame({"g": b["h"].to_numpy() >> _SHORTER, "h": b["h"], "rep": b["rep"], "s0": words[:, 0], "s1": words[:, 1], "form": b["form"], "blob": blobs})
 
-    return own.select("h", "form").mapInPandas(run, "key long, h long")
+    return own.select("h", "rep", "form").mapInPandas(run, "g long, h long, rep long, s0 long, s1 long, form string, blob binary")
 
 
 class AcceptedIndex:
@@ -93,7 +93,7 @@ class AcceptedIndex:
                     spark.sql(f"msck repair table {table}")
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, buckets: int | None = None, slots: int = 8, shard: int = SHARD, scheme: mh.Scheme = mh.USUAL) -> AcceptedIndex:
+    def create(cls, spark: SparkSession, path: str, buckets: int | None = None, slots: int = 4, shard: int = SHARD, scheme: mh.Scheme = mh.USUAL) -> AcceptedIndex:
         """An empty index in a new folder, which the cluster's executors must all reach."""
         if read_text(spark, f"{path}/index.json") is not None:
             raise ValueError(f"there is an index at {path}")
@@ -135,20 +135,22 @@ class AcceptedIndex:
 
     def _heat(self) -> DataFrame | None:
         """(key, n) of the hot keys, of which there is one for each ``shard`` rows of bands at most."""
-        if not any(self.state.get("heated", [])):
+        if not self.state.get("heated"):
             return None
         return self.read("heat").groupBy("key").agg(F.sum("n").alias("n"))
 
     def append(self, prints: DataFrame) -> None:
         """Add the classes of ``prints`` (``printed`` accepted records)."""
-        number = self.state["next"]
+        number, buckets = self.state["next"], self.state["buckets"]
         before = not self.empty
         self.state["next"] = number + 1
         self._save(writing=True)
         tagged = lambda rows, column: rows.withColumns({"batch": F.lit(number), "slot": self._slot(column)})
-        tagged(_classes(prints), "h").write.insertInto(self.tables["forms"])
-        own = self.read("forms").where(F.col("batch") == number)
-        keys = _keys(own, self.scheme).repartition(self.state["buckets"], "key")
+        # one exchange brings equal forms together and lays them out as the table is bucketed
+        least = prints.withColumn("g", F.shiftright("h", _SHORTER)).repartition(buckets, "g").groupBy("g", "h").agg(F.min(F.struct("id", "form")).alias("m"))
+        new = cut(_signed(least.select("h", F.col("m.id").alias("rep"), F.col("m.form").alias("form")), self.scheme), "signed")
+        tagged(new.drop("blob"), "g").write.insertInto(self.tables["forms"])
+        keys = band_keys(new.select("g", "blob"), self.scheme, "g").repartition(buckets, "key")
         had = F.lit(0)
         if before:
             mine = keys.select("key").distinct()
@@ -159,40 +161,48 @@ class AcceptedIndex:
             if heat is not None:
                 keys = keys.join(heat, "key", "left")
                 had = had + F.coalesce(F.col("n"), F.lit(0))
-        nth = F.row_number().over(Window.partitionBy("key").orderBy("h")) + had
+        nth = F.row_number().over(Window.partitionBy("key").orderBy("g")) + had
         over = Observation()
-        keys = keys.withColumn("chunk", F.floor((nth - 1) / self.shard).cast("int")).select("key", "h", "chunk")
+        keys = keys.withColumn("chunk", F.floor((nth - 1) / self.shard).cast("int")).select("key", "g", "chunk")
         seen = keys.observe(over, F.count_if(F.col("chunk") > 0).alias("n"))
-        tagged(seen.where("chunk = 0").select("key", "h"), "key").write.insertInto(self.tables["bands"])
-        if over.get["n"]:
+        tagged(seen.where("chunk = 0").select("key", "g"), "key").write.insertInto(self.tables["bands"])
+        heated = over.get["n"]
+        if heated:
             hot = cut(keys.where("chunk > 0"), "hot")
-            tagged(hot.select("key", "chunk", "h").repartition(self.state["buckets"], "key", "chunk"), "key").write.insertInto(self.tables["hot"])
+            tagged(hot.select("key", "chunk", "g").repartition(self.state["buckets"], "key", "chunk"), "key").write.insertInto(self.tables["hot"])
             hot.groupBy("key").agg(F.count("*").alias("n")).withColumn("batch", F.lit(number)).write.insertInto(self.tables["heat"])
-        self.state["heated"] = [bool(any(self.state.get("heated", [])) or over.get["n"])]
+        self.state["heated"] = bool(self.state.get("heated") or heated)
         self._save()
+        discard(new)
 
     def probe(self, own: DataFrame) -> DataFrame:
-        """(a, b): hashes of a form of the index and of a form of ``own`` (h, rep, form) that share a band key."""
-        keys = cut(_keys(own, self.scheme), "keys")
-        bands = self.read("bands", self._slots(keys, "key")).select("key", F.col("h").alias("a"))
-        hits = keys.withColumnRenamed("h", "b").join(bands, "key").select("a", "b")
+        """(g, h): the shorter hash of a form of the index and the hash of a form of ``own`` (``_signed``) that share a band key."""
+        keys = cut(band_keys(own, self.scheme, "h"), "keys")
+        hits = keys.join(self.read("bands", self._slots(keys, "key")).select("key", "g"), "key").select("g", "h")
         heat = self._heat()
         if heat is not None:
-            sent = keys.withColumnRenamed("h", "b").join(heat, "key").withColumn("chunk", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / self.shard).cast("int"))))
-            hits = hits.unionByName(sent.join(self.read("hot").select("key", "chunk", F.col("h").alias("a")), ["key", "chunk"]).select("a", "b"))
-        return hits.where("a <> b").distinct()
+            sent = keys.join(heat, "key").withColumn("chunk", F.explode(F.sequence(F.lit(1), F.ceil(F.col("n") / self.shard).cast("int"))))
+            hits = hits.unionByName(sent.join(self.read("hot").select("key", "chunk", "g"), ["key", "chunk"]).select("g", "h"))
+        return hits.distinct()
 
     def alike(self, own: DataFrame, least: float) -> DataFrame:
-        """(h, rep): for each form of ``own`` the smallest id of an equal or alike form of the index."""
+        """(h, rep): for each form of ``own`` (``_signed``) the smallest id of an equal or alike form of the index."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                yield b.loc[[mh.alike(x, y, least) for x, y in zip(b["fa"], b["fb"])], ["b", "rep"]]
+                yield b.loc[mh.alike_each(b["fa"].tolist(), b["fb"].tolist(), least), ["h", "rep"]]
 
-        pairs = cut(self.probe(own).unionByName(own.select(F.col("h").alias("a"), F.col("h").alias("b"))), "met")
-        held = self.read("forms", self._slots(pairs, "a")).select(F.col("h").alias("a"), "rep", F.col("form").alias("fa"))
-        met = pairs.join(held, "a").join(own.select(F.col("h").alias("b"), F.col("form").alias("fb")), "b").select("b", "rep", "fa", "fb")
-        return met.mapInPandas(run, "b long, rep long").groupBy(F.col("b").alias("h")).agg(F.min("rep").alias("rep"))
+        pairs = cut(self.probe(own), "met")
+        forms = self.read("forms", self._slots(pairs, "g"))
+        apart = F.bit_count(F.col("s0").bitwiseXOR(F.col("t0"))) + F.bit_count(F.col("s1").bitwiseXOR(F.col("t1")))
+        # the batch's sketches as a table of their own: by its size Spark sees whether to send them to the pairs or the pairs to them
+        mine = cut(own.select("h", F.col("s0").alias("t0"), F.col("s1").alias("t1")), "mine")
+        near = pairs.join(forms.select("g", F.col("h").alias("a"), "s0", "s1"), "g").join(mine, "h").where(apart <= self.scheme.radius)
+        near = cut(near.select("g", "a", "h"), "near")
+        # by g alone, as forms is bucketed: equality of the whole hashes as a second key would move it
+        held = forms.select("g", F.col("h").alias("b"), "rep", F.col("form").alias("fa"))
+        met = near.join(held, "g").where("a ^ b = 0").join(own.select("h", F.col("form").alias("fb")), "h")
+        return met.select("h", "rep", "fa", "fb").mapInPandas(run, "h long, rep long").groupBy("h").agg(F.min("rep").alias("rep"))
 
 
 def repeats(index: AcceptedIndex, batch: DataFrame, id_col: str = "id", text_col: str = "text", least: float = mh.SIMILAR) -> tuple[DataFrame, DataFrame]:
@@ -203,8 +213,8 @@ def repeats(index: AcceptedIndex, batch: DataFrame, id_col: str = "id", text_col
     counts once; other columns are not read; an empty batch or index gives no rows.
     """
     prints = cut(printed(batch, id_col, text_col), "batch")
-    own = cut(_classes(prints), "own")
-    links = verified(candidate_links(_blobs(own, "rep", index.scheme), index.scheme), own.select(F.col("rep").alias("id"), F.col("form").alias("text")), least, formed=True)
+    own = cut(_signed(_classes(prints), index.scheme), "own")
+    links = verified(candidate_links(own.select("rep", "blob"), index.scheme), own.select(F.col("rep").alias("id"), F.col("form").alias("text")), least, formed=True)
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     # the smallest id that each form may repeat: its own class's, that of an alike class of the batch, or one of the index
     best = own.select("h", "rep").unionByName(both.join(own.select(F.col("rep").alias("b"), "h"), "b").select("h", F.col("a").alias("rep")))
@@ -234,5 +244,5 @@ def unprocessed_repeats(messages: DataFrame, path: str | None = None) -> DataFra
         index = AcceptedIndex.open(spark, path)
     else:
         index = AcceptedIndex.create(spark, path or fresh_path(spark, "accepted"))
-        index.append(printed(messages.where("l1_processed_at is not null")))
+        index.append(printed(messages.where("l1_processed_at is not null"), distinct=True))
     return take_batch(index, messages.where("l1_processed_at is null"))

@@ -161,6 +161,8 @@ def test_batches_against_the_index(spark, tmp_path):
         index = incremental.AcceptedIndex.create(spark, path, 3, 2, shard)
         index.append(incremental.printed(frame(old[::2])))
         index.append(incremental.printed(frame(old[1::2])))
+        for name in index.tables.values():  # a session that knows nothing of it
+            spark.sql(f"drop table {name}")
         index = incremental.AcceptedIndex.open(spark, path)
         found, _ = incremental.repeats(index, frame([*new, (None, "x" * 50), (999, None)]))
         assert {tuple(x) for x in found.collect()} == want
