@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import cut, discard, fresh_path, read_text, spread, tasks, write_text
+from ..session import cut, discard, fresh_path, make_folder, read_text, spread, tasks, write_text
 from . import minhash as mh
 from .neardup import SHARD, band_keys, candidate_links, verified
 from .textform import key_form
@@ -86,6 +86,7 @@ class AcceptedIndex:
         self.tables = {kind: f"{name}_{kind}" for kind in _COLUMNS}
         for kind, table in self.tables.items():
             if not spark.catalog.tableExists(table):
+                make_folder(spark, f"{self.path}/{kind}")
                 slot, packed = (", slot int", f"{_PACKED}") if kind in _BUCKETED else ("", "'compression' = 'zstd'")
                 layout = f"partitioned by (slot) clustered by ({_BUCKETED[kind]}) sorted by ({_BUCKETED[kind]}) into {state['buckets']} buckets" if slot else ""
                 spark.sql(f"create table {table} ({_COLUMNS[kind]}, batch int{slot}) using parquet options ({packed}) {layout} location '{self.path}/{kind}'")
